@@ -24,6 +24,8 @@ MAX_TOTAL = 20_000_000
 
 def to_numpy(column) -> np.ndarray:
     """An Arrow column as a vector, or as a matrix if it holds equally long lists."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
         flat = column.flatten().to_numpy(zero_copy_only=False)
         return flat.reshape(len(column), -1)

@@ -73,13 +73,16 @@ def mean_variance(table: VectorTable) -> float:
     return float(table.sums(lambda x: ((x - mean) ** 2).sum(axis=0), d).mean() / table.n)
 
 
-def nearest_labels(table: VectorTable, centers: np.ndarray):
-    """Lazy ``(id, prediction, d2)``."""
+def nearest_labels(table: VectorTable, centers: np.ndarray, with_vectors: bool = False):
+    """Lazy ``(id, prediction, d2)``, or ``(id, x, prediction)`` with the vectors kept."""
 
     def kernel(ids, x):
         dist = squared_distances(x, centers)
-        return ids, dist.argmin(axis=1).astype(np.int32), dist.min(axis=1)
+        label = dist.argmin(axis=1).astype(np.int32)
+        return (ids, x, label) if with_vectors else (ids, label, dist.min(axis=1))
 
+    if with_vectors:
+        return table.map(kernel, "id long, x array<double>, prediction int")
     return table.map(kernel, "id long, prediction int, d2 double")
 
 

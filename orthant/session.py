@@ -62,7 +62,7 @@ class Scratch:
 
     def release(self, keep: int = 1) -> None:
         """Delete all but the last ``keep`` tables."""
-        stale = [p for p in self._tables[: len(self._tables) - keep] if p]
+        stale = [p for p in self._tables[: max(0, len(self._tables) - keep)] if p]
         jvm = self._spark._jvm
         for path in stale:
             hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
