@@ -127,7 +127,12 @@ class VectorTable:
     def load(
         cls, df: DataFrame, id_col: str = "id", features_col: str = "x", check_ids: bool = True
     ) -> "VectorTable":
-        vectors = to_vectors(df, id_col, features_col).persist(StorageLevel.MEMORY_AND_DISK)
+        vectors = to_vectors(df, id_col, features_col)
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if vectors.rdd.getNumPartitions() < cores:
+            # few input splits would leave cores idle in every pass
+            vectors = vectors.repartition(cores)
+        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
         p = vector_profile(vectors, check_ids).first()
         try:
             if p["n"] == 0:
