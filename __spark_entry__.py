@@ -23,6 +23,7 @@ from orthant.operators.matching import best_mapping, label_changes, relabel  # n
 from orthant.operators.passes import polar_factor  # noqa: E402
 from orthant.operators.selection import curvature_threshold, kth_largest  # noqa: E402
 from orthant.plans import rounding as P  # noqa: E402
+from orthant.plans.agglomerate import agglomerate  # noqa: E402
 from orthant.plans.alternating import IndicatorClustering  # noqa: E402
 from orthant.plans.compare import compare, kmeans_baseline  # noqa: E402
 from orthant.plans.joint import JointIndicatorClustering, spectral_embedding  # noqa: E402
@@ -1142,6 +1143,12 @@ def spectral_embedding_query(spark, sf_dir):
     return matched(labels, planted_nodes(spark, sf_dir))
 
 
+@query("agglomerate_ward", RECOVERED)
+def agglomerate_ward(spark, sf_dir):
+    rows = planted_rows(spark, sf_dir)
+    return matched(agglomerate(rows.select("id", "x"), 4), rows)
+
+
 @query("kmeans_baseline")
 def kmeans_baseline_query(spark, sf_dir):
     return kmeans_baseline(planted_rows(spark, sf_dir), 4, seed=1)

@@ -17,6 +17,7 @@ from orthant.operators.graph import degrees, fix_signs, laplacian, multiply_vect
 from orthant.operators.knn import knn_graph, knn_neighbors
 from orthant.operators.matching import best_mapping, label_changes, relabel
 from orthant.operators.selection import curvature_threshold, kth_largest
+from orthant.plans.agglomerate import agglomerate
 from orthant.plans.alternating import IndicatorClustering
 from orthant.plans.compare import compare, kmeans_baseline
 from orthant.plans.joint import JointIndicatorClustering, spectral_embedding
@@ -38,6 +39,7 @@ __all__ = [
     "RobustIndicatorClustering",
     "VectorTable",
     "accuracy",
+    "agglomerate",
     "best_mapping",
     "cluster_scores",
     "compare",

@@ -18,6 +18,9 @@ FEATURE_FIELDS = ("fea", "alls")
 LABEL_FIELDS = ("gnd", "idxg")
 TRANSPOSED_FIELDS = ("alls",)
 
+# Rows below which a further task costs more than it saves.
+ROWS_PER_TASK = 2_000
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Read parquet, or csv / json / orc by file ending."""
@@ -99,7 +102,7 @@ def load_labelled(
     return vectors.join(packed.select("id", "label"), "id")
 
 
-def vector_profile(df: DataFrame, check_ids: bool = True) -> DataFrame:
+def vector_profile(df: DataFrame, check_ids: bool = True, extra: tuple = ()) -> DataFrame:
     """One row: count, shortest and longest vector, rows with bad entries, distinct ids."""
     bad = F.col("x").isNull() | F.exists("x", lambda v: v.isNull() | F.isnan(v))
     aggs = [
@@ -107,6 +110,7 @@ def vector_profile(df: DataFrame, check_ids: bool = True) -> DataFrame:
         F.min(F.size("x")).alias("d_min"),
         F.max(F.size("x")).alias("d_max"),
         F.count_if(bad).alias("n_bad"),
+        *extra,
     ]
     if check_ids:
         aggs.append(F.countDistinct("id").alias("n_ids"))
@@ -127,13 +131,9 @@ class VectorTable:
     def load(
         cls, df: DataFrame, id_col: str = "id", features_col: str = "x", check_ids: bool = True
     ) -> "VectorTable":
-        vectors = to_vectors(df, id_col, features_col)
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if vectors.rdd.getNumPartitions() < cores:
-            # few input splits would leave cores idle in every pass
-            vectors = vectors.repartition(cores)
-        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-        p = vector_profile(vectors, check_ids).first()
+        vectors = to_vectors(df, id_col, features_col).persist(StorageLevel.MEMORY_AND_DISK)
+        parts = (F.max(F.spark_partition_id()) + 1).alias("n_parts")
+        p = vector_profile(vectors, check_ids, (parts,)).first()
         try:
             if p["n"] == 0:
                 raise ValueError("the table has no rows")
@@ -148,7 +148,14 @@ class VectorTable:
         except ValueError:
             vectors.unpersist()
             raise
-        return cls(vectors, p["n"], p["d_min"], vectors.rdd.getNumPartitions())
+        n_parts, cores = p["n_parts"], df.sparkSession.sparkContext.defaultParallelism
+        if n_parts < cores and p["n"] > cores * ROWS_PER_TASK:
+            # few input splits would leave cores idle in every pass
+            spread = vectors.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+            spread.count()
+            vectors.unpersist()
+            vectors, n_parts = spread, cores
+        return cls(vectors, p["n"], p["d_min"], n_parts)
 
     def sums(self, kernel, size: int) -> np.ndarray:
         return sum_pass(self.df, [self.column], kernel, size, self.n_parts)
