@@ -132,8 +132,8 @@ class VectorTable:
         cls, df: DataFrame, id_col: str = "id", features_col: str = "x", check_ids: bool = True
     ) -> "VectorTable":
         vectors = to_vectors(df, id_col, features_col).persist(StorageLevel.MEMORY_AND_DISK)
-        parts = (F.max(F.spark_partition_id()) + 1).alias("n_parts")
-        p = vector_profile(vectors, check_ids, (parts,)).first()
+        placed = vectors.withColumn("part", F.spark_partition_id())
+        p = vector_profile(placed, check_ids, (F.max("part").alias("last"),)).first()
         try:
             if p["n"] == 0:
                 raise ValueError("the table has no rows")
@@ -148,7 +148,7 @@ class VectorTable:
         except ValueError:
             vectors.unpersist()
             raise
-        n_parts, cores = p["n_parts"], df.sparkSession.sparkContext.defaultParallelism
+        n_parts, cores = p["last"] + 1, df.sparkSession.sparkContext.defaultParallelism
         if n_parts < cores and p["n"] > cores * ROWS_PER_TASK:
             # few input splits would leave cores idle in every pass
             spread = vectors.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
