@@ -227,3 +227,31 @@ def test_plans_stay_narrow(spark):
     plan = P.label_rows(table, P.View(np.eye(4), True), True)._jdf.queryExecution().toString()
     physical = plan.split("== Physical Plan ==")[1].split("InMemoryRelation")[0]
     assert "Exchange" not in physical and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_products_shuffle_no_edges(spark):
+    from orthant.operators.eigen import _append_block
+
+    edges, _, _ = block_graph(spark, (12, 8))
+    g = NodeGraph.build(edges, True, Scratch(spark, "test"))
+    g.edges.count()
+    state = g.nodes.select("id", "deg", "slots", F.array(F.lit(1.0), F.lit(2.0)).alias("s"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = _append_block(g, state, True, 2, 0.0, None)
+        plan = step._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # the sorted edges come straight from the cache
+    edge_side = plan.split("SortMergeJoin [src")[1].split("InMemoryTableScan [src")[0]
+    assert "Exchange" not in edge_side
+
+
+def test_copies_are_limited_before_the_shuffle(spark, vectors):
+    from pyspark.sql import Window
+
+    copies = Window.partitionBy("x").orderBy("id")
+    heads = vectors(np.zeros((4, 2))).withColumn("rank", F.row_number().over(copies))
+    plan = heads.where(F.col("rank") <= 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
