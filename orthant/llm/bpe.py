@@ -1,0 +1,346 @@
+"""Byte-level BPE encoding and decoding by transducers.
+
+Encoding. Let e(p) be the BPE tokens of a byte string p. Two facts make a transducer possible
+where every vocabulary token encodes as itself: the tokens of a prefix never depend on what lies
+left of a token border, and a sequence is an encoding exactly if each adjacent pair encodes as
+itself. So a prefix has one last token, and a configuration after reading p is the set of its
+open hypotheses: a token is under way (a trie node) since an earlier border, after the tokens up
+to that border. Tokens that all hypotheses share are emitted; the rest is at most as long as the
+longest token, which bounds the lookahead. Configurations are numbered as they are met and their
+moves are kept (lazy determinisation); the table is emptied when it is full, as the current
+configuration can be entered again at any time.
+
+Decoding. An incremental UTF-8 state machine, lifted from bytes to tokens: for each of its
+states a table has the state after a whole token, so a stream of ids steps once per token.
+"""
+
+from __future__ import annotations
+
+import base64
+from dataclasses import dataclass
+from functools import cache
+
+import numpy as np
+import public_tokenizers
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from orthant.llm.common import map_texts, settle
+
+#: Moves and configurations kept by a task before its tables are emptied.
+MOVES = 600_000
+#: Whole pieces remembered by a task, each of at most 48 characters.
+MEMO = 400_000
+#: Above any rank.
+NONE = 1 << 60
+
+
+def load_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        pairs = (line.split() for line in file)
+        return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
+def bpe(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """Plain merging, lowest rank first; used on tokens and pairs of tokens only."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    found = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+    while found and (rank := min(found)) != NONE:
+        i = found.index(rank)
+        parts[i] += parts.pop(i + 1)
+        del found[i]
+        if i:
+            found[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
+        if i < len(found):
+            found[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+    return parts
+
+
+@dataclass(frozen=True)
+class Trie:
+    """Vocabulary trie over the tokens that encode as themselves.
+
+    Nodes are multiples of 256, so that node + byte is the key of a child. ``token`` has the id
+    at a node that ends a token; ``inner`` has the nodes with children.
+    """
+
+    child: dict[int, int]
+    token: dict[int, int]
+    inner: frozenset[int]
+
+    @staticmethod
+    def build(ranks: dict[bytes, int]) -> Trie:
+        child: dict[int, int] = {}
+        token: dict[int, int] = {}
+        for text, rank in ranks.items():
+            if len(bpe(text, ranks)) != 1:
+                continue
+            node = 0
+            for byte in text:
+                node = child.setdefault(node + byte, (len(child) + 1) << 8)
+            token[node] = rank
+        return Trie(child, token, frozenset(key & ~255 for key in child))
+
+
+START = -1
+
+
+class Transducer:
+    """Bytes in, token ids out, in one left-to-right reading.
+
+    A configuration is (last shared id, hypotheses); a hypothesis is (trie node, ids since the
+    shared part), the longest under way first. The last one always stands at the root: its ids
+    complete the input so far.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], trie: Trie, bytes_of: list[bytes]):
+        self.ranks, self.trie, self.bytes_of = ranks, trie, bytes_of
+        self.pairs: dict[int, bool] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        start = (START, ((0, ()),))
+        self.configs = [start]
+        self.numbers = {start: 0}
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether the two tokens, side by side, encode as themselves."""
+        if left == START:
+            return True
+        key = left << 32 | right
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) >= MOVES:
+                self.pairs.clear()
+            a, b = self.bytes_of[left], self.bytes_of[right]
+            known = self.pairs[key] = bpe(a + b, self.ranks) == [a, b]
+        return known
+
+    def number(self, config) -> int:
+        found = self.numbers.get(config)
+        if found is None:
+            found = self.numbers[config] = len(self.configs)
+            self.configs.append(config)
+        return found
+
+    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Build the move from a state on a byte: next state and the ids to emit."""
+        last, hypotheses = self.configs[state]
+        child, token, inner = self.trie.child.get, self.trie.token.get, self.trie.inner
+        alive, done = [], None
+        for node, ids in hypotheses:
+            node = child(node + byte)
+            if node is None:
+                continue
+            if done is None:
+                ended = token(node)
+                if ended is not None and self.fits(ids[-1] if ids else last, ended):
+                    done = (*ids, ended)
+            if node in inner:
+                alive.append((node, ids))
+        if done is None:
+            raise ValueError("a byte of the input has no token")
+        shared = len(done)
+        for _, ids in alive:
+            shared = min(shared, len(ids))
+            while ids[:shared] != done[:shared]:
+                shared -= 1
+            if not shared:
+                break
+        alive.append((0, done))
+        emitted = done[:shared]
+        if shared:
+            last = emitted[-1]
+            alive = [(node, ids[shared:]) for node, ids in alive]
+        move = self.moves[state << 8 | byte] = (self.number((last, tuple(alive))), emitted)
+        return move
+
+    def ending(self, state: int) -> tuple[int, ...]:
+        """The ids that the end of input adds."""
+        return self.configs[state][1][-1][1]
+
+    def encode(self, data: bytes) -> list[int]:
+        out: list[int] = []
+        state, moves = 0, self.moves
+        for byte in data:
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                if len(self.configs) + len(moves) >= MOVES:
+                    here = self.configs[state]
+                    self.reset()
+                    state, moves = self.number(here), self.moves
+                move = self.step(state, byte)
+            state, emitted = move
+            if emitted:
+                out.extend(emitted)
+        out.extend(self.ending(state))
+        return out
+
+
+class Encoder:
+    """Texts to ids: cut by the pattern, each piece through the transducer."""
+
+    def __init__(self, ranks: dict[bytes, int], trie: Trie, pattern: str):
+        bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            bytes_of[rank] = token
+        self.ranks, self.transducer = ranks, Transducer(ranks, trie, bytes_of)
+        self.pieces = regex.compile(pattern).findall
+        self.memo: dict[str, list[int]] = {}
+
+    def piece(self, piece: str) -> list[int]:
+        data = piece.encode("utf-8")
+        whole = self.ranks.get(data)
+        ids = [whole] if whole is not None else self.transducer.encode(data)
+        if len(piece) <= 48:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[piece] = ids
+        return ids
+
+    def text(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        out: list[int] = []
+        memo = self.memo
+        for piece in self.pieces(text):
+            out += memo.get(piece) or self.piece(piece)
+        return np.array(out, dtype="<u4").tobytes()
+
+
+# States of the UTF-8 machine.
+READY, NEED1, NEED2, NEED3, AFTER_E0, AFTER_ED, AFTER_F0, AFTER_F4, BAD = range(9)
+
+
+def utf8_table() -> np.ndarray:
+    """next[state, byte] of the machine that accepts well-formed UTF-8."""
+    table = np.full((9, 256), BAD, dtype=np.uint8)
+    table[READY, :0x80] = READY
+    table[READY, 0xC2:0xE0] = NEED1
+    table[READY, 0xE0:0xF0] = NEED2
+    table[READY, 0xE0], table[READY, 0xED] = AFTER_E0, AFTER_ED
+    table[READY, 0xF1:0xF4] = NEED3
+    table[READY, 0xF0], table[READY, 0xF4] = AFTER_F0, AFTER_F4
+    table[NEED1, 0x80:0xC0] = READY
+    table[NEED2, 0x80:0xC0] = NEED1
+    table[NEED3, 0x80:0xC0] = NEED2
+    table[AFTER_E0, 0xA0:0xC0] = NEED1
+    table[AFTER_ED, 0x80:0xA0] = NEED1
+    table[AFTER_F0, 0x90:0xC0] = NEED2
+    table[AFTER_F4, 0x80:0x90] = NEED2
+    return table
+
+
+class Decoder:
+    """Ids to bytes and text, as a stream: ``feed`` may be called with any part of the ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values(), default=-1) + 1
+        self.bytes_of = [b""] * size
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+        self.table = table = utf8_table()
+        self.after = np.full((9, size), BAD, dtype=np.uint8)
+        for state in range(8):
+            for rank, token in enumerate(self.bytes_of):
+                at = state
+                for byte in token:
+                    at = table[at, byte]
+                self.after[state, rank] = at
+        self.clean = self.after[READY] == READY
+        self.reset()
+
+    def reset(self) -> None:
+        self.state, self.tail = READY, b""
+
+    def feed(self, ids: np.ndarray, end: bool = False) -> tuple[bytes, str]:
+        """The bytes of the ids, and the text whose code points are complete so far.
+
+        Ill-formed bytes become U+FFFD, also a code point still open at the end.
+        """
+        data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        state = self._walk(ids)
+        whole = self.tail + data
+        cut = len(whole)
+        if state == BAD:
+            cut, state = self._cut(whole)
+        elif state != READY:
+            cut, _ = self._cut(whole)
+        if end:
+            cut, state = len(whole), READY
+        self.state, self.tail = state, whole[cut:]
+        return data, whole[:cut].decode("utf-8", "replace")
+
+    def _walk(self, ids: np.ndarray) -> int:
+        """The state after the ids. Single steps only where a token begins or ends inside a
+        code point; elsewhere the state stays READY."""
+        state = self.state
+        if state == READY and self.clean[ids].all():
+            return READY
+        dirty = np.flatnonzero(~self.clean[ids])
+        i = 0 if state != READY else int(dirty[0])
+        while i < len(ids) and state != BAD:
+            state = int(self.after[state, ids[i]])
+            i += 1
+            if state == READY:
+                k = np.searchsorted(dirty, i)
+                i = int(dirty[k]) if k < dirty.size else len(ids)
+        return state
+
+    def _cut(self, data: bytes) -> tuple[int, int]:
+        """Where an unfinished but so far well-formed code point begins, and its state."""
+        for n in range(min(3, len(data)), 0, -1):
+            state = READY
+            for byte in data[-n:]:
+                state = self.table[state, byte]
+            if state not in (READY, BAD) and data[-n] >= 0xC2:
+                return len(data) - n, int(state)
+        return len(data), READY
+
+
+@cache
+def _loaded(path: str) -> tuple[dict[bytes, int], Trie]:
+    ranks = load_ranks(path)
+    return ranks, Trie.build(ranks)
+
+
+def encode_decode(
+    df: DataFrame,
+    path: str,
+    pattern: str = public_tokenizers.PATTERN,
+    text: str = "text",
+    keep: list[str] | None = None,
+    decode: bool = True,
+) -> DataFrame:
+    """``ids`` (little-endian unsigned 32-bit, packed) of each whole text and, where asked,
+    ``decoded``: the bytes that the streaming decoder makes of them.
+
+    Null and empty texts have no ids. Repeated rows are encoded each. Special tokens are never
+    produced. ``keep`` names the columns carried over; others are ignored.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(_loaded(path))  # bounded by the vocabulary
+    keep = ["doc_id"] if keep is None else keep
+
+    def kernel():
+        ranks, trie = shared.value
+        settle()
+        encoder = Encoder(ranks, trie, pattern)
+        decoder = Decoder(ranks) if decode else None
+
+        def run(texts):
+            ids = [encoder.text(t) for t in texts]
+            if decoder is None:
+                return {"ids": ids}
+            out = []
+            for packed in ids:
+                decoder.reset()
+                out.append(decoder.feed(np.frombuffer(packed, dtype="<u4"), end=True)[0])
+            return {"ids": ids, "decoded": out}
+
+        return run
+
+    fields = [StructField("ids", BinaryType())]
+    if decode:
+        fields.append(StructField("decoded", BinaryType()))
+    return map_texts(df, text, kernel, StructType(fields), keep)
