@@ -1173,6 +1173,21 @@ def compare_query(spark, sf_dir):
     return table.where(F.col("metric") != "seconds")
 
 
+# ---------------------------------------------------------------- optional subpackage
+
+try:
+    import corpus_pipeline
+    from orthant.llm import queries as corpus_queries
+except ImportError:  # the subpackage may be left out
+    pass
+else:
+    QUERIES.update(corpus_queries.QUERIES)
+    ORACLES.update(corpus_queries.ORACLES)
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 # ---------------------------------------------------------------- driver contract
 
 
