@@ -22,6 +22,8 @@ from orthant.llm.common import ascii_lower, cut
 WINDOW = 10
 #: Windows in a broadcast, about 200 bytes each.
 BLOCK = 100_000
+#: Words in a stretch of a document that a posting looks around in, without the margins.
+STRETCH = 64
 # Fixed value: what a word is made of, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -69,26 +71,43 @@ def filed_windows(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     )
 
 
-def index_matches(docs: DataFrame, files: DataFrame, slop: int | None = None) -> DataFrame:
+def stretches(docs: DataFrame, margin: int) -> DataFrame:
+    """doc_id, th, base and ``w``: stretches of STRETCH words, with ``margin`` more on each side
+    where the document has them. ``base`` is the position of the stretch's first own word, and
+    ``lead`` how many words stand before it. However long a document is, a row is short."""
+    w = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
+    bases = F.sequence(F.lit(0), F.size("w") - 1, F.lit(STRETCH))
+
+    def one(base: Column) -> Column:
+        lead = F.least(base, F.lit(margin))
+        part = F.slice("w", base - lead + 1, lead + STRETCH + margin)
+        return F.struct(base.alias("base"), lead.alias("lead"), part.alias("w"))
+
+    cut_up = w.where(F.size("w") > 0).select("doc_id", "th", F.explode(F.transform(bases, one)).alias("s"))
+    return cut_up.select("doc_id", "th", "s.base", "s.lead", "s.w")
+
+
+def index_matches(docs: DataFrame, files: DataFrame, window: int, slop: int | None = None) -> DataFrame:
     """Postings of the filed terms with at least one match: doc_id, th, and ``found``, an array
     of (start, end, items).
 
     Without ``slop`` a match is the exact phrase. With it, all words of the window stand at most
     len + slop - 1 words from the rarest term; start and end are those of that stretch.
     """
-    w = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
-    posted = w.select("doc_id", "th", "w", F.posexplode("w").alias("p", "term"))
-    posted = posted.join(F.broadcast(files), "term")  # at most BLOCK windows
+    around = stretches(docs, window - 1 + (slop or 0))
+    posted = around.select("doc_id", "th", "base", "lead", "w", F.posexplode("w").alias("q", "term"))
+    own = (F.col("q") >= F.col("lead")) & (F.col("q") < F.col("lead") + STRETCH)
+    posted = posted.where(own).join(F.broadcast(files), "term")  # at most BLOCK windows
 
     def start(f: Column) -> Column:
         if slop is None:
-            return F.col("p") - f["o"]
-        return F.greatest(F.col("p") - (F.size(f["phrase"]) - 1 + slop), F.lit(0))
+            return F.col("q") - f["o"]
+        return F.greatest(F.col("q") - (F.size(f["phrase"]) - 1 + slop), F.lit(0))
 
     def end(f: Column) -> Column:
         if slop is None:
-            return F.col("p") - f["o"] + F.size(f["phrase"])
-        return F.least(F.col("p") + F.size(f["phrase"]) + slop, F.size("w"))
+            return F.col("q") - f["o"] + F.size(f["phrase"])
+        return F.least(F.col("q") + F.size(f["phrase"]) + slop, F.size("w"))
 
     def there(f: Column) -> Column:
         stretch = F.slice("w", F.greatest(start(f), F.lit(0)) + 1, end(f) - start(f))
@@ -96,11 +115,14 @@ def index_matches(docs: DataFrame, files: DataFrame, slop: int | None = None) ->
             return (start(f) >= 0) & (stretch == f["phrase"])
         return F.size(F.array_except(f["phrase"], stretch)) == 0
 
+    shift = F.col("base") - F.col("lead")
     found = F.transform(
         F.filter("files", there),
-        lambda f: F.struct(start(f).alias("start"), end(f).alias("end"), f["items"].alias("items")),
+        lambda f: F.struct(
+            (shift + start(f)).alias("start"), (shift + end(f)).alias("end"), f["items"].alias("items")
+        ),
     )
-    return posted.select("doc_id", "th", found.alias("found")).where(F.size("found") > 0)
+    return posted.where(F.exists("files", there)).select("doc_id", "th", found.alias("found"))
 
 
 def _in_blocks(docs: DataFrame, items: DataFrame, window: int, slop: int | None) -> DataFrame:
@@ -110,7 +132,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, window: int, slop: int | None)
     for block in range(max(1, blocks)):
         part = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(max(1, blocks))) == block)
         files = cut(filed_windows(docs, part))
-        matches = index_matches(docs, files, slop)
+        matches = index_matches(docs, files, window, slop)
         out = matches if out is None else out.unionByName(matches)
     return out
 
