@@ -92,11 +92,12 @@ def repeated_lines(df: DataFrame, window: int = WINDOW, min_words: int = MIN_WOR
     """``doc_id``, ``th`` and ``gone``: the sorted line numbers to delete of each document that
     has any. Rows that share id and text are one document."""
     prints = fingerprints(df, window, min_words)
-    shared = prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    # cut off, so that the joins read both sides from exchanges and can split a hot line
+    shared = cut(prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
     met = prints.join(shared, "fp").select("doc_id", "th", F.explode("ws").alias("w"))
     met = cut(met.select("doc_id", "th", "w.edge", "w.h1", "w.h2", "w.lines").distinct())
     place = F.struct("doc_id", "th", F.get("lines", F.lit(0)).alias("i"))
-    first = (
+    first = cut(
         met.groupBy("edge", "h1", "h2")
         .agg(F.min(place).alias("first"), F.count("*").alias("c"))
         .where("c > 1")
