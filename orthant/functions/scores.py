@@ -116,7 +116,7 @@ def scores_from_cells(cells: DataFrame, average: str = "arithmetic") -> DataFram
 def accuracy_from_cells(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     """One row: share of rows whose mapped cluster equals their class."""
     matched = cells.alias("c").join(
-        F.broadcast(mapping.alias("m")),
+        mapping.alias("m"),
         F.col("c.cluster").eqNullSafe(F.col("m.cluster")),
         "left",
     )

@@ -1,14 +1,23 @@
-"""Matching clusters to classes."""
+"""Matching clusters to classes.
+
+A matching of largest weight can be found in each connected part of the (cluster, class) table
+on its own. Spark finds the parts; a part whose cells are the only ones of their cluster or
+class is settled by an aggregate, and only larger parts, one task each, run the assignment.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Non-zero (cluster, class) counts and labels per side the driver takes for one matching.
-MAX_CELLS = 1_000_000
+from orthant.session import Scratch
+
+# Non-zero (cluster, class) counts up to which the driver finds the parts itself.
+DRIVER_CELLS = 100_000
+# Labels a side of one connected part: the assignment is dense and cubic in them.
 MAX_LABELS = 4_000
 
 
@@ -68,38 +77,90 @@ def _ordered(values) -> list:
     return sorted(values, key=lambda v: (v is None, v))
 
 
-def best_mapping(cells: DataFrame) -> DataFrame:
-    """``(cluster, mapped)``: the one-to-one mapping that agrees on most rows.
-
-    A cluster left over when there are more clusters than classes maps to null.
-    """
-    rows = cells.select("cluster", "class", "n").limit(MAX_CELLS + 1).collect()
+def match_part(rows: list[tuple]) -> list[tuple]:
+    """``(cluster, mapped)`` of one connected part, given as (cluster, class, n)."""
     clusters = _ordered({r[0] for r in rows})
     classes = _ordered({r[1] for r in rows})
-    if len(rows) > MAX_CELLS or max(len(clusters), len(classes), 0) > MAX_LABELS:
-        raise ValueError(
-            f"label matching takes {MAX_LABELS} labels a side and {MAX_CELLS} cells at most"
-        )
-    match = match_matrix(rows, clusters, classes)
-    row_of = max_weight_assignment(match.T) if len(match) else []
-    out = [
+    if max(len(clusters), len(classes)) > MAX_LABELS:
+        raise ValueError(f"a connected part of the label table has over {MAX_LABELS} labels a side")
+    row_of = max_weight_assignment(match_matrix(rows, clusters, classes).T)
+    return [
         (c, classes[row_of[i]] if row_of[i] < len(classes) else None)
         for i, c in enumerate(clusters)
     ]
+
+
+def split_parts(rows: list[tuple]) -> list[list[tuple]]:
+    """The cells by connected part: those linked through a common cluster or class."""
+    root: dict = {}
+
+    def find(v):
+        root.setdefault(v, v)
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for cluster, label, _ in rows:
+        root[find((0, cluster))] = find((1, label))
+    parts: dict = {}
+    for row in rows:
+        parts.setdefault(find((0, row[0])), []).append(row)
+    return list(parts.values())
+
+
+def find_parts(cells: DataFrame) -> DataFrame:
+    """``cells`` with ``part``, the least cluster of the connected part, found by Spark.
+
+    Parts spread from clusters to classes and back, and then follow the part of the part.
+    """
+    scratch = Scratch(cells.sparkSession, "parts")
+    cells = cells.select(F.struct("cluster").alias("c"), F.struct("class").alias("k"), "n")
+    state = scratch.cut(cells.select("c", F.col("c").alias("part")).distinct())
+    while True:
+        by_class = cells.join(state, "c").groupBy("k").agg(F.min("part").alias("p"))
+        spread = cells.join(by_class, "k").groupBy("c").agg(F.min("p").alias("part"))
+        ahead = spread.select(F.col("c").alias("part"), F.col("part").alias("next"))
+        moved = scratch.cut(
+            spread.join(ahead, "part")
+            .select("c", F.least("part", "next").alias("part"))
+            .join(state.select("c", F.col("part").alias("before")), "c")
+        )
+        state = moved.select("c", "part")
+        if moved.where(F.col("part") != F.col("before")).isEmpty():
+            joined = cells.join(state, "c")
+            return joined.select("part", F.col("c.cluster"), F.col("k.class"), "n")
+
+
+def best_mapping(cells: DataFrame) -> DataFrame:
+    """``(cluster, mapped)``: the one-to-one mapping that agrees on most rows.
+
+    Only labels that share rows are matched. A cluster without a partner maps to null.
+    """
+    cells = cells.select("cluster", "class", "n")
     schema = T.StructType(
         [
             T.StructField("cluster", cells.schema["cluster"].dataType),
             T.StructField("mapped", cells.schema["class"].dataType),
         ]
     )
-    return cells.sparkSession.createDataFrame(out, schema)
+    rows = [tuple(r) for r in cells.limit(DRIVER_CELLS + 1).collect()]
+    if len(rows) <= DRIVER_CELLS:
+        out = [pair for part in split_parts(rows) for pair in match_part(part)]
+        return cells.sparkSession.createDataFrame(out, schema)
+
+    def matched(table: pa.Table) -> pa.Table:
+        found = match_part(list(zip(*(table.column(c).to_pylist() for c in ("cluster", "class", "n")))))
+        fields = [("cluster", table.schema.field("cluster").type), ("mapped", table.schema.field("class").type)]
+        columns = zip(*found)
+        return pa.table([pa.array(v, t) for v, (_, t) in zip(columns, fields)], names=["cluster", "mapped"])
+
+    return find_parts(cells).groupBy("part").applyInArrow(matched, schema)
 
 
 def relabel(df: DataFrame, mapping: DataFrame, column: str = "prediction") -> DataFrame:
-    """Add ``mapped``. The mapping has one row per cluster: it came from the driver."""
-    return df.join(
-        F.broadcast(mapping.withColumnRenamed("cluster", column)), column, "left"
-    )
+    """Add ``mapped``. Null clusters are labels like any other."""
+    names = mapping.select(F.col("cluster").alias("__cluster"), "mapped")
+    return df.join(names, F.col(column).eqNullSafe(F.col("__cluster")), "left").drop("__cluster")
 
 
 def label_changes(a: DataFrame, b: DataFrame, column: str = "prediction") -> DataFrame:

@@ -27,6 +27,10 @@ def to_numpy(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        offsets = column.offsets.to_numpy()
+        lengths = np.diff(offsets)
+        if column.null_count or (len(lengths) and (lengths != lengths[0]).any()):
+            raise ValueError("vectors are null or differ in length")
         flat = column.flatten().to_numpy(zero_copy_only=False)
         return flat.reshape(len(column), -1)
     return column.to_numpy(zero_copy_only=False)
@@ -83,7 +87,10 @@ def map_rows(df: DataFrame, columns: list[str], kernel, schema: str) -> DataFram
                 for value in kernel(*[to_numpy(c) for c in batch.columns]):
                     if isinstance(value, np.ndarray) and value.ndim == 2:
                         width = value.shape[1]
-                        offsets = np.arange(0, value.size + 1, width, dtype=np.int32)
+                        offsets = np.arange(0, value.size + 1, width, dtype=np.int64)
+                        if value.size >= 2**31:
+                            raise ValueError("a batch of vectors is too large; lower the batch size")
+                        offsets = offsets.astype(np.int32)
                         value = pa.ListArray.from_arrays(
                             pa.array(offsets), pa.array(np.ascontiguousarray(value).ravel())
                         )

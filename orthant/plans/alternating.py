@@ -14,7 +14,7 @@ from orthant.plans.lloyd import lloyd
 from orthant.plans.model import ClusterModel, History
 from orthant.plans.params import check_h_values, check_positive, parse_init
 from orthant.plans.rounding import Residuals, View, center_pass, label_rows, view_pass
-from orthant.sources.vectors import VectorTable, check_cluster_count
+from orthant.sources.vectors import VectorTable, check_cluster_count, warn_if_not_square
 
 TINY = 1e-12
 
@@ -212,6 +212,7 @@ class IndicatorClustering:
         )
         check_h_values(self.h_values)
         k = check_cluster_count(self.n_clusters, table.n, table.d)
+        warn_if_not_square(table.d, k)
         z0 = parse_init(self.init, table.d, k)
         if z0 is None:
             z0 = random_rotation(table, k, self.normalize_rows, self.seed)

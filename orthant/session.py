@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,22 +25,9 @@ def local_session(cores: str | int = "*", name: str = "orthant") -> SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder is used in local mode only; on a cluster a
-    machine-local folder would be lost with its executor, so that is an error.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``, or one beside the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return _local_root()
-
-
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="orthant-")
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 class Scratch:

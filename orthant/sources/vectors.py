@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,13 +23,13 @@ TRANSPOSED_FIELDS = ("alls",)
 ROWS_PER_TASK = 2_000
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read parquet, or csv / json / orc by file ending."""
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Read parquet, or csv / json / orc by file ending. Without a schema a csv is read twice."""
     for ending in ("csv", "json", "orc"):
         if path.rstrip("/").endswith("." + ending):
-            reader = spark.read
+            reader = spark.read if schema is None else spark.read.schema(schema)
             if ending == "csv":
-                reader = reader.option("header", True).option("inferSchema", True)
+                reader = reader.option("header", True).option("inferSchema", schema is None)
             return reader.format(ending).load(path)
     return spark.read.parquet(path)
 
@@ -41,14 +42,19 @@ def pack_columns(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     )
 
 
-def to_vectors(df: DataFrame, id_col: str = "id", features_col: str = "x") -> DataFrame:
-    """``(id long, x array<double>)`` from an array column or an ml vector column."""
+def vector_column(df: DataFrame, features_col: str) -> Column:
+    """An array column or an ml vector column as an array of doubles."""
     x = F.col(features_col)
     if not isinstance(df.schema[features_col].dataType, T.ArrayType):
         from pyspark.ml.functions import vector_to_array
 
         x = vector_to_array(x)
-    return df.select(F.col(id_col).cast("long").alias("id"), R.as_double_vector(x).alias("x"))
+    return R.as_double_vector(x)
+
+
+def to_vectors(df: DataFrame, id_col: str = "id", features_col: str = "x") -> DataFrame:
+    """``(id long, x array<double>)``."""
+    return df.select(F.col(id_col).cast("long").alias("id"), vector_column(df, features_col).alias("x"))
 
 
 def untranspose(df: DataFrame, values_col: str, feature_col: str = "feature") -> DataFrame:
@@ -91,20 +97,17 @@ def load_labelled(
         truth = labels_df.select(F.col(id_col).cast("long").alias("id"), F.col(label_field).alias("label"))
         return untranspose(df, feature_field).join(truth, "id")
     label_field = pick(label, LABEL_FIELDS, df, "label")
-    vectors = to_vectors(df, id_col, feature_field)
-    packed = df.select(
+    return df.select(
         F.col(id_col).cast("long").alias("id"),
-        F.col(feature_field).alias("x"),
+        vector_column(df, feature_field).alias("x"),
         F.col(label_field).alias("label"),
     )
-    if isinstance(df.schema[feature_field].dataType, T.ArrayType):
-        return packed.withColumn("x", R.as_double_vector(F.col("x")))
-    return vectors.join(packed.select("id", "label"), "id")
 
 
 def vector_profile(df: DataFrame, check_ids: bool = True, extra: tuple = ()) -> DataFrame:
     """One row: count, shortest and longest vector, rows with bad entries, distinct ids."""
-    bad = F.col("x").isNull() | F.exists("x", lambda v: v.isNull() | F.isnan(v))
+    unusable = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    bad = F.col("x").isNull() | unusable
     aggs = [
         F.count(F.lit(1)).alias("n"),
         F.min(F.size("x")).alias("d_min"),
@@ -117,6 +120,18 @@ def vector_profile(df: DataFrame, check_ids: bool = True, extra: tuple = ()) ->
     return df.agg(*aggs)
 
 
+def check_profile(p) -> None:
+    """An error for a profile row of a table that no operator can work on."""
+    if p["n"] == 0:
+        raise ValueError("the table has no rows")
+    if p["n_bad"]:
+        raise ValueError(f"{p['n_bad']} rows have a null or NaN entry, or an infinite one")
+    if p["d_min"] != p["d_max"]:
+        raise ValueError(f"vectors differ in length: {p['d_min']} to {p['d_max']}")
+    if p["d_min"] == 0:
+        raise ValueError("vectors are empty")
+
+
 @dataclass
 class VectorTable:
     """A checked and cached ``(id, x)`` table. The cache is rebuilt from the source if lost."""
@@ -135,14 +150,7 @@ class VectorTable:
         placed = vectors.withColumn("part", F.spark_partition_id())
         p = vector_profile(placed, check_ids, (F.max("part").alias("last"),)).first()
         try:
-            if p["n"] == 0:
-                raise ValueError("the table has no rows")
-            if p["n_bad"]:
-                raise ValueError(f"{p['n_bad']} rows have a null or NaN entry")
-            if p["d_min"] != p["d_max"]:
-                raise ValueError(f"vectors differ in length: {p['d_min']} to {p['d_max']}")
-            if p["d_min"] == 0:
-                raise ValueError("vectors are empty")
+            check_profile(p)
             if check_ids and p["n_ids"] != p["n"]:
                 raise ValueError(f"ids are not unique: {p['n_ids']} ids on {p['n']} rows")
         except ValueError:
@@ -189,3 +197,9 @@ def check_cluster_count(n_clusters: int, n: int, d: int) -> int:
     if k > d:
         raise ValueError(f"vectors need at least as many entries as clusters: {d} < {k}")
     return k
+
+
+def warn_if_not_square(d: int, k: int) -> None:
+    """Rotations are meant for embeddings of as many dimensions as clusters."""
+    if d != k:
+        warnings.warn(f"vectors have {d} entries for {k} clusters", stacklevel=3)

@@ -40,6 +40,7 @@ def test_row_functions_on_edge_rows(spark):
         ([(0, [1.0, None])], "null or NaN"),
         ([(0, [1.0, float("nan")])], "null or NaN"),
         ([(0, None)], "null or NaN"),
+        ([(0, [1.0, float("inf")])], "infinite"),
         ([(0, [1.0]), (1, [1.0, 2.0])], "length"),
         ([(0, [1.0]), (0, [2.0])], "unique"),
         ([], "no rows"),
@@ -117,3 +118,24 @@ def test_other_parameters(spark):
     ):
         with pytest.raises(ValueError):
             call()
+
+
+def test_ml_vectors_keep_one_row_per_row(spark, vectors):
+    rows = vectors(np.arange(6.0).reshape(3, 2), ids=[1, 1, 2])
+    raw = rows.select("id", array_to_vector("x").alias("fea"), F.col("id").alias("gnd"))
+    assert load_labelled(raw).count() == 3
+
+
+def test_square_search_starts_at_a_rotation():
+    from orthant.plans.riemann import as_rotation
+
+    mirror = np.diag([1.0, -1.0])
+    assert np.linalg.det(as_rotation(mirror)) == 1.0
+    assert as_rotation(np.eye(3)[:, :2]).shape == (3, 2)
+
+
+def test_warning_when_entries_and_clusters_differ(vectors):
+    from orthant import IndicatorClustering
+
+    with pytest.warns(UserWarning, match="entries"):
+        IndicatorClustering(2, max_iter_out=1).fit(vectors(np.eye(3)))

@@ -92,3 +92,22 @@ def test_label_changes(spark):
     a = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "id long, prediction int")
     b = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "id long, prediction int")
     assert label_changes(a, b).first()[0] == 1
+
+
+def test_any_number_of_labels(spark):
+    rows = spark.range(5_000).selectExpr("id as truth", "id * 7 % 5000 as prediction")
+    got = {r["metric"]: r["value"] for r in cluster_scores(rows).collect()}
+    assert len(got) == 7 and got["accuracy"] == 1.0 and got["purity"] == 1.0
+
+
+def test_parts_found_by_spark(spark, monkeypatch):
+    from orthant.operators import matching as M
+
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(a // 3 * 3 + b)) for a, b in zip(rng.integers(0, 30, 900), rng.integers(0, 3, 900), strict=True)]
+    rows += [(None, 99)] * 3 + [(50, None)]
+    df = spark.createDataFrame(rows, "prediction long, truth long")
+    here = {tuple(r) for r in best_mapping(contingency(df)).collect()}
+    monkeypatch.setattr(M, "DRIVER_CELLS", 3)
+    assert {tuple(r) for r in best_mapping(contingency(df)).collect()} == here
+    assert (None, 99) in here and (50, None) in here
