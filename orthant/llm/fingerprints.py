@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -196,10 +197,15 @@ def in_order_with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -
     wanted = n * BUCKETS_PER_PARTITION
     marks = [i / wanted for i in range(1, wanted)]
     found = rows.agg(F.percentile_approx("key", marks, 10 * wanted)).first()[0] or []
-    bounds = spark.createDataFrame([(sorted(set(found)),)], "bounds array<long>")
-    # a row of at most `wanted` numbers
-    part = F.coalesce(F.size(F.filter("bounds", lambda b: b <= F.col("key"))), F.lit(0))
-    placed = rows.join(F.broadcast(bounds)).withColumn("part", part).drop("bounds")
+    splits = [float("-inf"), *sorted({float(v) for v in found}), float("inf")]
+    as_double = F.coalesce(F.col("key").cast("double"), F.lit(float("-inf")))
+    ranges = Bucketizer(splits=splits, inputCol="__k", outputCol="__p")
+    placed = rows.withColumn("__k", as_double)
+    if len(splits) > 2:
+        placed = ranges.transform(placed).withColumn("part", F.col("__p").cast("int"))
+    else:
+        placed = placed.withColumn("part", F.lit(0))
+    placed = placed.select("part", "key", "text")
     least = sorted(
         (r["part"], r["k"])
         for r in placed.groupBy("part")
