@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthant.llm import decontaminate, line_dedup, near_dedup, quality
-from orthant.llm.common import read
+from orthant.llm.common import read, shared_root
 from orthant.llm.queries import round_trip
 
 
@@ -60,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{root.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/corpus-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"

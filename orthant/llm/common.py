@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -96,16 +97,18 @@ def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(order, key).limit(n)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder in ``spark.checkpoint.dir``; beside the warehouse only where unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once and cut off from their lineage by ``checkpoint()``.
+    """The rows, written once as Parquet in the shared folder and read back.
 
-    They go to the shared folder in ``spark.checkpoint.dir``. Only where that is unset (tests)
-    a folder beside the warehouse is used. Spark's cleaner removes them once unreferenced if
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    It cuts the lineage. Unlike a checkpoint the table has its real size: estimates carried
+    through the joins of a loop multiply, until planning takes longer than the work.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(root or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint()
+    path = f"{shared_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
