@@ -8,8 +8,9 @@ later than every register. Two documents agree in a register with their probabil
 Registers are grouped in bands. Documents that agree in a band share a bucket; each is compared
 with one representative of the bucket, not with all others, and only verified links (exact
 Jaccard of the shingle sets) count. Where a bucket is then still spread over several classes,
-its members of different classes are compared as well, so no candidate link is lost; pairs that
-are in one class already, the bulk of a large group, are never formed.
+the members of the smaller classes are compared with a few fresh representatives of the larger
+ones, and what is still apart after that with all members of the other class, so no candidate
+link is lost; pairs that are in one class already, the bulk of a large group, are never formed.
 
 Texts with the same words are one node from the start, so exact copies cost one row each.
 """
@@ -40,6 +41,10 @@ REGISTERS = BANDS * ROWS
 #: One-bit register values that may differ in a pair worth verifying: of 125 bits 12.5 differ on
 #: average at 0.8, with a deviation of 3.4; 33 is six deviations above.
 MOST_BITS = 33
+#: Words of documents whose registers are filled together.
+TOGETHER = 30_000
+#: Fresh representatives that the members of mixed buckets are compared with.
+ROUNDS = 3
 #: Words whose hash a task remembers.
 MEMO = 400_000
 
@@ -77,35 +82,49 @@ def shingles(ids: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def prob_minhash(items: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """For each register the item whose arrival there is the first."""
-    first = np.full(registers, np.inf)
-    kept = np.zeros(registers, _U)
+def prob_minhash(
+    items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, registers: int = REGISTERS
+) -> np.ndarray:
+    """For n documents, the item whose arrival is the first at each register.
+
+    ``owner`` is the document of each item. Documents are handled side by side; an item is
+    dropped once its arrival is later than every register of its document.
+    """
+    first = np.full(n * registers, np.inf)
+    kept = np.zeros(n * registers, _U)
+    base = owner * registers
     at = np.zeros(len(items))
     state = mix(items)
     while len(items):
         state = mix(state + _U(0x9E3779B97F4A7C15))
         uniform = ((state >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
         at = at - np.log(uniform) / weights
-        register = (mix(state ^ _U(0xD1B54A32D192ED03)) % _U(registers)).astype(np.int64)
+        register = base + (mix(state ^ _U(0xD1B54A32D192ED03)) % _U(registers)).astype(np.int64)
         early = np.flatnonzero(at < first[register])
         order = early[np.argsort(-at[early], kind="stable")]
         first[register[order]] = at[order]
         kept[register[order]] = items[order]
-        open_ = at < first.max()
-        items, weights, at, state = items[open_], weights[open_], at[open_], state[open_]
-    return kept
-
-
-def signature(ids: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Band hashes, and the lowest bit of each register's item as two numbers."""
-    items, counts = np.unique(shingles(ids), return_counts=True)
-    kept = prob_minhash(items, 1.0 + np.log(counts))
-    band = np.arange(BANDS, dtype=_U)
+        latest = first.reshape(n, registers).max(axis=1)
+        open_ = np.flatnonzero(at < latest[owner])
+        items, weights, owner, base = items[open_], weights[open_], owner[open_], base[open_]
+        at, state = at[open_], state[open_]
+    return kept.reshape(n, registers)
+
+
+def signatures(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes, and the lowest bit of each register's item packed into two numbers, of
+    documents given by their word hashes."""
+    found = [np.unique(shingles(ids), return_counts=True) for ids in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(items) for items, _ in found])
+    items = np.concatenate([items for items, _ in found])
+    weights = 1.0 + np.log(np.concatenate([counts for _, counts in found]))
+    kept = prob_minhash(items, weights, owner, len(texts))
+    band = np.broadcast_to(np.arange(BANDS, dtype=_U), (len(texts), BANDS))
     for r in range(ROWS):
-        band = mix((band + _U(0x9E3779B97F4A7C15)) ^ kept.reshape(BANDS, ROWS)[:, r])
-    bits = np.packbits(np.append((mix(kept) & _U(1)).astype(np.uint8), [0, 0, 0])).view("<i8")
-    return band.view(np.int64), int(bits[0]), int(bits[1])
+        band = mix((band + _U(0x9E3779B97F4A7C15)) ^ kept.reshape(-1, BANDS, ROWS)[:, :, r])
+    bits = (mix(kept) & _U(1)).astype(np.uint8)
+    packed = np.packbits(np.pad(bits, ((0, 0), (0, 3))), axis=1).view("<i8")
+    return band.view(np.int64), packed
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -127,14 +146,26 @@ def sketches(docs: DataFrame) -> DataFrame:
         settle()
 
         def run(texts):
+            words = [hashes.of(t) for t in texts]
             out: dict[str, list] = {f.name: [] for f in added.fields}
-            for t in texts:
-                ids = hashes.of(t)
+            for t, ids in zip(texts, words, strict=True):
                 data = ids.tobytes() if len(ids) else b"\0" + t.encode("utf-8")
                 key = np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), "<i8")
-                bands, b1, b2 = signature(ids) if len(ids) else (np.zeros(0, np.int64), 0, 0)
-                for name, v in zip(out, (int(key[0]), int(key[1]), len(ids), bands, b1, b2), strict=True):
-                    out[name].append(v)
+                out["k1"].append(int(key[0]))
+                out["k2"].append(int(key[1]))
+                out["n_words"].append(len(ids))
+            none = np.zeros(0, np.int64)
+            out["bands"], out["b1"], out["b2"] = [none] * len(texts), [0] * len(texts), [0] * len(texts)
+            group: list[int] = []
+            for i in range(len(texts)):
+                if len(words[i]):
+                    group.append(i)
+                if group and (i + 1 == len(texts) or sum(len(words[g]) for g in group) >= TOGETHER):
+                    bands, bits = signatures([words[g] for g in group])
+                    for g, band, pair in zip(group, bands, bits, strict=True):
+                        out["bands"][g] = band
+                        out["b1"][g], out["b2"][g] = int(pair[0]), int(pair[1])
+                    group = []
             return out
 
         return run
@@ -149,7 +180,8 @@ def node(prefix: str = "") -> Column:
 def representative_pairs(nodes: DataFrame) -> DataFrame:
     """Each member of a bucket with the bucket's least node: distinct (a, b)."""
     members = nodes.select("k1", "k2", "b1", "b2", F.explode("bands").alias("band"))
-    least = (
+    # cut off, so that a hot bucket can be split in the join
+    least = cut(
         members.groupBy("band")
         .agg(
             F.count("*").alias("c"),
@@ -172,34 +204,56 @@ def representative_pairs(nodes: DataFrame) -> DataFrame:
     )
 
 
-def crossing_pairs(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket but are in different classes."""
-    members = (
-        nodes.select(node().alias("node"), "b1", "b2", "bands")
-        .join(classes, "node", "left")
-        .withColumn("class", F.coalesce("class", "node"))
-        .select("node", "class", "b1", "b2", F.explode("bands").alias("band"))
-    )
+def mixed_members(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """band, node, b1, b2, class of the members of buckets that hold more than one class."""
+    members = members.select("band", "node", "b1", "b2").join(classes, "node", "left")
+    members = members.withColumn("class", F.coalesce("class", "node"))
     mixed = (
         members.groupBy("band")
         .agg(F.min("class.k1").alias("lo"), F.max("class.k1").alias("hi"))
         .where("lo <> hi")
         .select("band")
     )
-    members = cut(members.join(mixed, "band"))
-    groups = members.select("band", "class").distinct()
-    other = groups.select("band", F.col("class").alias("class2"))
-    met = groups.join(other, "band").where(F.col("class") < F.col("class2"))
-    left = met.join(members, ["band", "class"]).select(
-        "band", "class2", F.col("node").alias("a"), F.col("b1").alias("x1"), F.col("b2").alias("x2")
+    return cut(members.join(cut(mixed), "band"))
+
+
+def apart() -> Column:
+    """How many register bits of two nodes differ."""
+    return F.bit_count(F.col("x1").bitwiseXOR(F.col("b1"))) + F.bit_count(
+        F.col("x2").bitwiseXOR(F.col("b2"))
     )
-    right = members.select("band", F.col("class").alias("class2"), F.col("node").alias("b"), "b1", "b2")
-    near = (
-        F.bit_count(F.col("x1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("b2")))
-        <= MOST_BITS
+
+
+def outsiders(members: DataFrame) -> DataFrame:
+    """a, x1, x2, band, class: nodes of the smaller of two classes in a bucket, with the larger
+    one as ``class``."""
+    groups = cut(members.groupBy("band", "class").agg(F.count("*").alias("n")))
+    size = F.struct("n", "class")
+    small = groups.select("band", size.alias("s"))
+    large = groups.select("band", size.alias("l"))
+    met = small.join(large, "band").where(F.col("s") < F.col("l"))
+    met = cut(met.select("band", F.col("s.class").alias("class"), F.col("l.class").alias("other")))
+    return met.join(members, ["band", "class"]).select(
+        F.col("node").alias("a"), F.col("b1").alias("x1"), F.col("b2").alias("x2"), "band", F.col("other").alias("class")
     )
-    same = [left["band"] == right["band"], left["class2"] == right["class2"], near]
-    return left.join(right, same[0] & same[1] & same[2]).select("a", "b").distinct()
+
+
+def fresh_pairs(members: DataFrame, salt: int) -> DataFrame:
+    """Each outsider with one member of the larger class of its bucket, another one each round."""
+    place = F.xxhash64("node", F.lit(salt))
+    chosen = members.groupBy("band", "class").agg(
+        F.min(F.struct(place.alias("h"), "node", "b1", "b2")).alias("r")
+    )
+    met = cut(outsiders(members)).join(cut(chosen.select("band", "class", "r.node", "r.b1", "r.b2")), ["band", "class"])
+    return met.where(apart() <= MOST_BITS).select("a", F.col("node").alias("b")).distinct()
+
+
+def crossing_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of nodes that share a bucket but are in different classes. Each outsider is
+    compared once with each member of the other class, whatever number of buckets they share."""
+    alone = cut(outsiders(members).select("a", "x1", "x2", "class").distinct())
+    others = cut(members.select("class", F.col("node").alias("b"), "b1", "b2").distinct())
+    return alone.join(others, "class").where(apart() <= MOST_BITS).select("a", "b").distinct()
 
 
 def bucket_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -293,20 +347,28 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     rows = cut(sketches(docs))
     nodes = rows.where("n_words > 0").dropDuplicates(["k1", "k2"])
     texts = cut(bucket_texts(docs, nodes))
-    links = cut(verified(representative_pairs(nodes), texts, threshold))
+    links = cut(verified(cut(representative_pairs(nodes)), texts, threshold))
     classes = components(links)
-    crossing = cut(crossing_pairs(nodes, classes))
-    more = verified(crossing, texts, threshold)
-    joined = cut(more)
-    if not joined.isEmpty():
-        classes = components(links.unionByName(joined))
+    members = nodes.select(node().alias("node"), "b1", "b2", F.explode("bands").alias("band"))
+    for salt in range(ROUNDS + 1):
+        # buckets of one class stay so: each round looks at what was mixed before
+        members = mixed_members(members, classes)
+        if members.isEmpty():
+            break
+        # cut off in steps: the planner takes long over joins of this many struct columns
+        pairs = cut(fresh_pairs(members, salt) if salt < ROUNDS else crossing_pairs(members))
+        more = cut(verified(pairs, texts, threshold))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            classes = components(links)
     labelled = (
         rows.select("doc_id", "th", node().alias("node"))
         .join(classes, "node", "left")
         .select("doc_id", "th", F.coalesce("class", "node").alias("class"))
     )
+    # heads are cut off as well: a class may hold a third of all rows
     order = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th")
-    heads = labelled.groupBy("class").agg(F.min(order).alias("head"), F.count("*").alias("class_size"))
+    heads = cut(labelled.groupBy("class").agg(F.min(order).alias("head"), F.count("*").alias("class_size")))
     return labelled.join(heads, "class").select(
         "doc_id",
         "th",
