@@ -29,9 +29,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from orthant.llm.common import map_texts, settle
 
 #: Moves and configurations kept by a task before its tables are emptied.
-MOVES = 600_000
+MOVES = 900_000
 #: Whole pieces remembered by a task, each of at most 48 characters.
-MEMO = 400_000
+MEMO = 600_000
 #: Above any rank.
 NONE = 1 << 60
 
@@ -61,26 +61,33 @@ def bpe(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Trie:
     """Vocabulary trie over the tokens that encode as themselves.
 
-    Nodes are multiples of 256, so that node + byte is the key of a child. ``token`` has the id
-    at a node that ends a token; ``inner`` has the nodes with children.
+    Nodes are multiples of 256, so that node + byte is the key of a child. By node number,
+    ``token`` has the id that ends there or -1, and ``inner`` whether there are children.
     """
 
     child: dict[int, int]
-    token: dict[int, int]
-    inner: frozenset[int]
+    token: list[int]
+    inner: bytes
 
     @staticmethod
     def build(ranks: dict[bytes, int]) -> Trie:
         child: dict[int, int] = {}
-        token: dict[int, int] = {}
+        token = [-1]
         for text, rank in ranks.items():
             if len(bpe(text, ranks)) != 1:
                 continue
             node = 0
             for byte in text:
-                node = child.setdefault(node + byte, (len(child) + 1) << 8)
-            token[node] = rank
-        return Trie(child, token, frozenset(key & ~255 for key in child))
+                key = node + byte
+                node = child.get(key)
+                if node is None:
+                    node = child[key] = len(token) << 8
+                    token.append(-1)
+            token[node >> 8] = rank
+        inner = bytearray(len(token))
+        for key in child:
+            inner[key >> 8] = 1
+        return Trie(child, token, bytes(inner))
 
 
 START = -1
@@ -91,7 +98,8 @@ class Transducer:
 
     A configuration is (last shared id, hypotheses); a hypothesis is (trie node, ids since the
     shared part), the longest under way first. The last one always stands at the root: its ids
-    complete the input so far.
+    complete the input so far. A move is the number of the next configuration, negative where
+    ``emits`` has ids to emit.
     """
 
     def __init__(self, ranks: dict[bytes, int], trie: Trie, bytes_of: list[bytes]):
@@ -101,9 +109,10 @@ class Transducer:
 
     def reset(self) -> None:
         start = (START, ((0, ()),))
-        self.configs = [start]
-        self.numbers = {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.configs = [None, start]
+        self.numbers = {start: 1}
+        self.moves: dict[int, int] = {}
+        self.emits: dict[int, tuple[int, ...]] = {}
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, encode as themselves."""
@@ -125,20 +134,20 @@ class Transducer:
             self.configs.append(config)
         return found
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Build the move from a state on a byte: next state and the ids to emit."""
+    def step(self, state: int, byte: int) -> int:
+        """Build the move from a state on a byte."""
         last, hypotheses = self.configs[state]
-        child, token, inner = self.trie.child.get, self.trie.token.get, self.trie.inner
+        child, token, inner = self.trie.child.get, self.trie.token, self.trie.inner
         alive, done = [], None
         for node, ids in hypotheses:
             node = child(node + byte)
             if node is None:
                 continue
-            if done is None:
-                ended = token(node)
-                if ended is not None and self.fits(ids[-1] if ids else last, ended):
+            place = node >> 8
+            if done is None and (ended := token[place]) >= 0:
+                if self.fits(ids[-1] if ids else last, ended):
                     done = (*ids, ended)
-            if node in inner:
+            if inner[place]:
                 alive.append((node, ids))
         if done is None:
             raise ValueError("a byte of the input has no token")
@@ -150,11 +159,13 @@ class Transducer:
             if not shared:
                 break
         alive.append((0, done))
-        emitted = done[:shared]
-        if shared:
-            last = emitted[-1]
-            alive = [(node, ids[shared:]) for node, ids in alive]
-        move = self.moves[state << 8 | byte] = (self.number((last, tuple(alive))), emitted)
+        key = state << 8 | byte
+        if not shared:
+            move = self.moves[key] = self.number((last, tuple(alive)))
+            return move
+        self.emits[key] = done[:shared]
+        alive = [(node, ids[shared:]) for node, ids in alive]
+        move = self.moves[key] = -self.number((done[shared - 1], tuple(alive)))
         return move
 
     def ending(self, state: int) -> tuple[int, ...]:
@@ -163,19 +174,20 @@ class Transducer:
 
     def encode(self, data: bytes) -> list[int]:
         out: list[int] = []
-        state, moves = 0, self.moves
+        state, move_of = 1, self.moves.get
         for byte in data:
-            move = moves.get(state << 8 | byte)
+            move = move_of(state << 8 | byte)
             if move is None:
-                if len(self.configs) + len(moves) >= MOVES:
+                if len(self.configs) + len(self.moves) >= MOVES:
                     here = self.configs[state]
                     self.reset()
-                    state, moves = self.number(here), self.moves
+                    state, move_of = self.number(here), self.moves.get
                 move = self.step(state, byte)
-            state, emitted = move
-            if emitted:
-                out.extend(emitted)
-        out.extend(self.ending(state))
+            if move < 0:
+                out += self.emits[state << 8 | byte]
+                move = -move
+            state = move
+        out += self.ending(state)
         return out
 
 
