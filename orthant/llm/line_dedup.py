@@ -13,10 +13,16 @@ footers are caught; they meet other first and last lines only.
 
 Nothing is paired: windows are grouped with partial aggregation and joined back to one row a
 window, so work follows the number of lines whatever the size of a group of copies.
+
+What is left may still share passages that are one line, or stand inside lines. ``cut_passages``
+winnows over words: of each window of PASSAGE words, wherever it starts, the first occurrence
+stays and the words of later ones go.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +32,14 @@ from orthant.llm.common import cut
 WINDOW = 2
 #: Windows with fewer words than this are left alone.
 MIN_WORDS = 3
+#: Words in the shortest repeated passage that is cut out of lines, and in the pieces it is
+#: winnowed by. Each passage has a fingerprint as it holds PASSAGE - PIECE + 1 pieces.
+PASSAGE, PIECE = 50, 25
+# White space, and letters of scripts that put none between words; each of these
+# letters is a word.
+SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+PASSAGE_WORD = f"[{UNSPACED}]|[^{SPACE}{UNSPACED}]+"
 
 
 def lines_of(text: Column) -> Column:
@@ -119,6 +133,141 @@ def without_lines(lines: Column, gone: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, also where lambdas refer to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def over_runs(values: Column, length: int, f: Callable[[Column, Column], Column]) -> Column:
+    """Each run of ``length`` values folded by f, in steps that double; the values must be as many."""
+
+    def folded(step: int) -> Callable[[Column], Column]:
+        return lambda v: F.transform(
+            F.slice(v, F.lit(1), F.size(v) - step), lambda x, i: f(x, F.get(v, i + step))
+        )
+
+    done = 1
+    while done < length:
+        step = min(done, length - done)
+        values = let(values, folded(step))
+        done += step
+    return values
+
+
+def pieces_of(text: Column) -> Column:
+    """Hashes of the runs of PIECE words; none where the text has fewer than PASSAGE words."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PASSAGE_WORD), F.lit(0))
+    none = F.array().cast("array<bigint>")
+    return let(found, lambda w: F.when(
+        F.size(w) >= PASSAGE,
+        over_runs(F.transform(w, lambda x: F.xxhash64(x)), PIECE, lambda a, b: F.xxhash64(a, b)),
+    ).otherwise(none))
+
+
+def passage_prints(docs: DataFrame) -> DataFrame:
+    """fp, doc_id, th, a, b: passages start at the words a to b whose least piece is fp.
+
+    Pieces are ordered by the upper half of their hash and then by place, so a text that repeats
+    itself has as many fingerprints as places.
+    """
+
+    def selected(pieces: Column) -> Column:
+        upper = F.lit(-(1 << 32))
+        keys = F.transform(pieces, lambda x, i: x.bitwiseAND(upper).bitwiseOR(i.cast("long")))
+        least = over_runs(keys, PASSAGE - PIECE + 1, lambda a, b: F.least(a, b))
+
+        def ranges(m: Column) -> Column:
+            n = F.size(m)
+            starts = F.filter(
+                F.sequence(F.lit(0), n - 1), lambda s: (s == 0) | (F.get(m, s) != F.get(m, s - 1))
+            )
+            return let(starts, lambda t: F.transform(t, lambda s, j: F.struct(
+                F.get(pieces, F.get(m, s).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("fp"),
+                s.alias("a"),
+                (F.coalesce(F.get(t, j + 1), n) - 1).alias("b"),
+            )))
+
+        none = F.array().cast("array<struct<fp: bigint, a: int, b: int>>")
+        return F.when(F.size(pieces) > 0, let(least, ranges)).otherwise(none)
+
+    found = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(let(pieces_of(F.col("text")), selected)).alias("f"))
+    return found.select("f.fp", "doc_id", "th", "f.a", "f.b")
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``th`` and ``cuts``: start and end words of what to cut out of each document
+    that has any, in order and apart. Rows that share id and text are one document."""
+    prints = cut(passage_prints(docs))
+    shared = cut(prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
+    met = prints.join(shared, "fp").groupBy("doc_id", "th").agg(
+        F.collect_set(F.struct("fp", "a", "b")).alias("fs")
+    ).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "fs")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(cut(met), same)
+
+    def windows(pieces: Column) -> Column:
+        return F.flatten(F.transform("fs", lambda f: F.transform(F.sequence(f["a"], f["b"]), lambda s: F.struct(
+            s.alias("s"),
+            f["fp"].alias("fp"),
+            F.xxhash64(F.get(pieces, s), F.get(pieces, s + (PASSAGE - PIECE))).alias("h"),
+        ))))
+
+    found = texts.select("doc_id", "th", F.explode(let(pieces_of(F.col("text")), windows)).alias("w"))
+    found = cut(found.select("doc_id", "th", "w.s", "w.fp", "w.h").distinct())
+    place = F.struct("doc_id", "th", "s")
+    first = cut(
+        found.groupBy("fp", "h").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    )
+    later = found.join(first, ["fp", "h"]).where(~place.eqNullSafe(F.col("first")))
+    starts = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("s")).alias("t"))
+    apart = F.lit(PASSAGE)
+    begins = F.filter("t", lambda s, j: (j == 0) | (s > F.get(F.col("t"), j - 1) + apart))
+    ends = F.filter("t", lambda s, j: (j == F.size("t") - 1) | (F.get(F.col("t"), j + 1) > s + apart))
+    cuts = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b + apart).alias("b")))
+    return starts.select("doc_id", "th", cuts.alias("cuts"))
+
+
+def without_words(text: Column, cuts: Column) -> Column:
+    """The text without the given stretches of words and the space before each of the words."""
+    whole = F.regexp_extract_all(text, F.lit(f"[{SPACE}]*(?:{PASSAGE_WORD})"), F.lit(0))
+
+    def left(w: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["b"]))
+        ends = F.concat(F.transform(cuts, lambda c: c["a"]), F.array(F.size(w)))
+        return F.array_join(F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(w, a + 1, b - a))), "")
+
+    kept = F.concat(let(whole, left), F.regexp_extract(text, f"[{SPACE}]*\\z", 0))
+    kept = F.when(F.get(cuts, F.lit(0))["a"] == 0, F.regexp_replace(kept, f"\\A[{SPACE}]+", "")).otherwise(kept)
+    return F.when(F.regexp_replace(kept, f"[{SPACE}]+", "") == "", F.lit("")).otherwise(kept)
+
+
+def cut_passages(df: DataFrame) -> DataFrame:
+    """All rows and columns, ``text`` without the words of passages of PASSAGE words or more that
+    occurred before, by (doc_id, text hash, position), and ``n_cut``, how many words went.
+
+    Words are compared as they stand, whatever white space is between them; a passage may lie
+    inside a line or go over several. A null text stays null.
+    """
+    cuts = repeated_passages(df).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "cuts")
+    cuts = cuts.withColumnRenamed("cuts", "__cuts")
+    names = [c for c in df.columns if c != "n_cut"]
+    rows = df.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("text").alias("__key"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th"))
+    rows = rows.join(cuts, same, "left")
+    none = F.col("__cuts").isNull()
+    text = F.when(none, F.col("text")).otherwise(without_words(F.col("text"), F.col("__cuts")))
+    gone = F.aggregate("__cuts", F.lit(0), lambda n, c: n + c["b"] - c["a"])
+    return rows.select(
+        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
+        F.coalesce(gone, F.lit(0)).cast("long").alias("n_cut"),
+    )
+
+
+def dedup_text(df: DataFrame) -> DataFrame:
+    """Line dedup, and then the passages that lines still share: the columns of both."""
+    return cut_passages(cut(dedup_lines(df)))
+
+
 def dedup_lines(df: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns, ``text`` without the lines of later repeated runs, and ``n_lines``
     and ``n_removed``.

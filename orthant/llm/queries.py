@@ -75,6 +75,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", digest)
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup, and the passages that lines still share; op8_line_dedup is its first step."""
+    kept = line_dedup.dedup_text(read(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    return kept.select("doc_id", "n_lines", "n_removed", "n_cut", digest)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_dedup.near_duplicate_classes(read(spark, sf_dir, "documents"))
     return classes.select("doc_id", "class_id", "class_size")
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_quality,
         op7_language,
         op8_line_dedup,
+        op8_passage_dedup,
         op9_near_dedup,
         op10_url_filter,
     )

@@ -162,6 +162,53 @@ def test_fingerprints_are_window_minima(spark):
             assert {s for d, s in starts if d == i} == set(filled[: max(0, len(filled) - 3)])
 
 
+def brute_passages(rows, least=50):
+    """Words left of each text: those of later occurrences of ``least`` words go."""
+    seen, left = set(), []
+    for _, text in rows:
+        words = (text or "").split()
+        gone = set()
+        for k in range(len(words) - least + 1):
+            part = tuple(words[k : k + least])
+            if part in seen:
+                gone.update(range(k, k + least))
+            seen.add(part)
+        left.append([w for k, w in enumerate(words) if k not in gone])
+    return left
+
+
+def test_passages_inside_lines_against_brute_force(spark):
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"v{rng.randrange(3000)}" for _ in range(n))
+    shared = [some(n) for n in (49, 50, 51, 90, 150)]
+    rows = []
+    for i in range(40):
+        text = rng.choice(shared)
+        kind = i % 4
+        if kind == 0:  # a line of its own, first in some documents and inside others
+            text = "\n".join(rng.sample([text, some(9), some(60), some(3)], 4))
+        elif kind == 1:  # inside a line
+            text = some(7) + " " + text + "  " + some(5) + "\n" + some(4)
+        elif kind == 2:  # broken into lines elsewhere
+            text = some(8) + "\t" + text.replace(" ", "\n", 3) + " " + some(2) + " "
+        rows.append((i, text))
+    rows += [(50, "la " * 400), (51, "x " + "la " * 90), (52, None), (53, ""), (None, some(3) + " " + shared[4])]
+    rows += [(54, "天地玄黄宇宙洪荒日月盈昃辰宿列张" * 2 + "".join(map(chr, range(0x4E00, 0x4E50))))]
+    rows += [(55, "前" + "".join(map(chr, range(0x4E00, 0x4E50))) + "后")]
+    table = spark.createDataFrame(rows + rows[:2], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in line_dedup.cut_passages(table).collect()}
+    spaced = sorted((r for r in rows if r[0] is None or r[0] < 54), key=lambda r: (r[0] is not None, r[0] or 0))
+    for (i, text), left in zip(spaced, brute_passages(spaced), strict=True):
+        assert (got[i]["text"] or "").split() == left, i
+        assert got[i]["n_cut"] == len((text or "").split()) - len(left)
+    assert got[52]["text"] is None and got[55]["text"] == "前后" and got[54]["n_cut"] == 0
+    whole = line_dedup.dedup_text(spark.createDataFrame(
+        [(1, shared[4] + "\none ends"), (2, "start of two\n" + shared[4] + "\ntwo ends")], "doc_id long, text string"
+    )).collect()
+    assert {r["doc_id"]: r["text"] for r in whole}[2] == "start of two\ntwo ends"
+    assert line_dedup.cut_passages(table.limit(0)).count() == 0
+
+
 # ------------------------------------------------------------------ near duplicates
 
 
