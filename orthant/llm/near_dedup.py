@@ -1,9 +1,10 @@
 """Near-duplicate classes by ProbMinHash.
 
-A document is a set of word 5-grams, each weighted by 1 + ln(its count). For each weighted shingle
-points of a Poisson process arrive with the weight as rate, each at a random register; a register
-keeps the shingle that arrives first, and a shingle is dropped as soon as its next arrival is
-later than every register. Two documents agree in a register with their probability Jaccard.
+A document is a set of word 5-grams, each of weight 1 however often it occurs, as the similarity
+that is verified is that of sets. For each shingle points of a Poisson process arrive with the
+weight as rate, each at a random register; a register keeps the shingle that arrives first, and a
+shingle is dropped as soon as its next arrival is later than every register. Two documents agree
+in a register with their probability Jaccard, at equal weights the Jaccard of the sets.
 
 Registers are grouped in bands. Documents that agree in a band share a bucket; each is compared
 with one representative of the bucket, not with all others, and only verified links (exact
@@ -114,11 +115,10 @@ def prob_minhash(
 def signatures(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes, and the lowest bit of each register's item packed into two numbers, of
     documents given by their word hashes."""
-    found = [np.unique(shingles(ids), return_counts=True) for ids in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(items) for items, _ in found])
-    items = np.concatenate([items for items, _ in found])
-    weights = 1.0 + np.log(np.concatenate([counts for _, counts in found]))
-    kept = prob_minhash(items, weights, owner, len(texts))
+    found = [np.unique(shingles(ids)) for ids in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(items) for items in found])
+    items = np.concatenate(found)
+    kept = prob_minhash(items, np.ones(len(items)), owner, len(texts))
     band = np.broadcast_to(np.arange(BANDS, dtype=_U), (len(texts), BANDS))
     for r in range(ROWS):
         band = mix((band + _U(0x9E3779B97F4A7C15)) ^ kept.reshape(-1, BANDS, ROWS)[:, :, r])

@@ -295,6 +295,22 @@ def test_registers_estimate_probability_jaccard():
     assert abs((one == two).mean() - exact) < 5 * np.sqrt(exact * (1 - exact) / m)
 
 
+def test_repetition_does_not_hide_near_duplicates(spark):
+    """Set similarity 0.98 and 0.82, with a passage that only one text repeats."""
+    rng = np.random.default_rng(6)
+    rows, n = [], 36
+    for i in range(0, n, 3):
+        w = [f"r{x}" for x in rng.integers(0, 10**6, 240)]
+        texts = w[:200], w[:100] * 1000 + w[100:200], w[:200] + w[200:] * 50
+        rows += [(i + k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    classes = brute_classes(rows)
+    firsts = {c: min(i for i in range(n) if classes[i] == c) for c in classes}
+    assert [got[i] for i in range(n)] == [firsts[c] for c in classes]
+    assert len(set(classes)) == 12
+
+
 # ------------------------------------------------------------------ URLs
 
 URLS = [
