@@ -32,6 +32,8 @@ from orthant.llm.common import cut
 WINDOW = 2
 #: Windows with fewer words than this are left alone.
 MIN_WORDS = 3
+#: A line of so many bytes has MIN_WORDS words at least, whatever it is made of.
+LONG_BYTES = 100
 #: Words in the shortest repeated passage that is cut out of lines, and in the pieces it is
 #: winnowed by. Each passage has a fingerprint as it holds PASSAGE - PIECE + 1 pieces.
 PASSAGE, PIECE = 50, 25
@@ -46,6 +48,12 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def words_of(line: Column, least: int) -> Column:
+    """How many words a line counts for: each letter of a script without spaces is one."""
+    count = F.regexp_count(line, F.lit(PASSAGE_WORD))
+    return F.when(F.octet_length(line) >= LONG_BYTES, F.greatest(count, F.lit(least))).otherwise(count)
+
+
 def fingerprints(df: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each selected position: fp, doc_id, th (text hash), and ``ws``, the windows
     whose least line it is: hash (h1, h2, edge), start and line numbers."""
@@ -59,7 +67,7 @@ def fingerprints(df: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS
             x["i"].alias("i"),
             F.xxhash64(F.lit(1), x["s"]).alias("a"),
             F.xxhash64(F.lit(2), x["s"]).alias("b"),
-            F.size(F.split(x["s"], " +")).alias("w"),
+            words_of(x["s"], min_words).alias("w"),
         ),
     )
 

@@ -162,6 +162,13 @@ def test_fingerprints_are_window_minima(spark):
             assert {s for d, s in starts if d == i} == set(filled[: max(0, len(filled) - 3)])
 
 
+def test_lines_without_spaces_count_as_long(spark):
+    long = ["天地玄黄宇宙洪荒", "กขคงจฉชซ", "one\ttwo\tthree", "one\u00a0two\u00a0three", "x" * 100]
+    rows = [(i, t) for i, t in enumerate(long + long)] + [(20, "two words"), (21, "two words")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {5, 6, 7, 8, 9}
+
+
 def brute_passages(rows, least=50):
     """Words left of each text: those of later occurrences of ``least`` words go."""
     seen, left = set(), []
