@@ -1,6 +1,6 @@
 """URL filter: rules first, then a path-template tree per host.
 
-Segments that vary (numbers, identifiers, rare words) become wildcards. Going down from each
+Segments that vary (numbers, identifiers, rare words without labels) become wildcards. Going down from each
 host, sibling branches whose share of labelled rejections does not differ significantly from
 their pooled share are merged into one branch; those clearly above and clearly below it are
 merged among themselves. A leaf template is rejected by its smoothed share of rejections among
@@ -29,8 +29,8 @@ RULES = (
 MOST_RULES = 10_000
 #: Segments below this depth are one wildcard.
 DEPTH = 4
-#: A word segment stays a branch of its own from so many pages and this share of its parent on.
-LEAST_PAGES, LEAST_SHARE = 3, 0.01
+#: A word segment without a labelled page stays a branch of its own from so many pages on.
+LEAST_PAGES = 3
 #: Standard errors that make two shares differ.
 APART = 2.0
 #: Weight of the prior, and share of rejections from which a template is rejected.
@@ -102,15 +102,14 @@ def template_tree(pages: DataFrame) -> DataFrame:
             F.sum("n").alias("cn"), F.sum("m").alias("cm"), F.sum("b").alias("cb")
         )
         parents = branches.groupBy("host", "prefix").agg(
-            F.sum("cn").alias("pn"), F.sum("cm").alias("pm"), F.sum("cb").alias("pb")
+            F.sum("cm").alias("pm"), F.sum("cb").alias("pb")
         )
         share = F.col("pb") / F.greatest("pm", F.lit(1))
         own = F.col("cb") / F.greatest("cm", F.lit(1))
         spread = APART * F.sqrt((share * (1 - share) + 1e-9) / F.greatest("cm", F.lit(1)))
         wild = F.col("seg").startswith("<") | (F.col("seg") == "**")
-        rare = ~wild & (
-            (F.col("cn") < LEAST_PAGES) | (F.col("cn") < LEAST_SHARE * F.col("pn"))
-        )
+        # labelled segments are merged by the test only, however few pages they have
+        rare = ~wild & (F.col("cm") == 0) & (F.col("cn") < LEAST_PAGES)
         branch = (
             F.when(rare, "*")
             .when(wild | (F.col("cm") == 0), F.col("seg"))

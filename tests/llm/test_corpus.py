@@ -360,6 +360,15 @@ def test_templates_follow_labels(spark):
     assert {r["template"] for r in got} == {"/{+}/<n>", "/{-}/<n>"}
 
 
+def test_rare_labelled_segments_keep_their_branch(spark):
+    rows = [(f"http://h.org/main/{i}", None) for i in range(3000)]
+    rows += [(f"http://h.org/bad/{i}", 1) for i in range(10)] + [(f"http://h.org/ok/{i}", 0) for i in range(10)]
+    rows += [("http://h.org/bad/77", None), ("http://h.org/ok/77", None), ("http://h.org/once/77", None)]
+    table = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id long, url string, bad int")
+    got = url_filter.judge_urls(table, rules=(), label="bad").collect()
+    assert all((r["verdict"] == "block") == r["path"].startswith("/bad/") for r in got)
+
+
 # ------------------------------------------------------------------ pipeline
 
 
