@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can express.
+"""The registered queries of the operators, and SQL for those that SQL can express.
 
 Each applies its operator, with production parameters, to the whole table.
 """
@@ -8,18 +8,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthant.llm import bpe, fingerprints, language, line_dedup, near_dedup, pii, quality
+from orthant.llm import (
+    bpe,
+    fingerprints,
+    language,
+    line_dedup,
+    near_dedup,
+    periodic,
+    pii,
+    piece_bpe,
+    quality,
+    vector_codes,
+)
 from orthant.llm import decontaminate as decontamination
 from orthant.llm import token_counts as counts
 from orthant.llm import url_filter as urls
-from orthant.llm.common import crc_mod, read
+from orthant.llm.common import crc_mod, cut, read
 from orthant.llm.line_dedup_sql import LINE_DEDUP
 
 TOKEN_FILE = "byte_bpe_50k.json"
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +53,8 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(docs, pii.fit_field(docs))
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
+def digests(coded: DataFrame) -> DataFrame:
     """Ids of each document and what they decode to, as digests."""
-    coded = bpe.encode_decode(docs, public_tokenizers.path(RANK_FILE))
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -52,6 +63,10 @@ def round_trip(docs: DataFrame) -> DataFrame:
     )
 
 
+def round_trip(docs: DataFrame) -> DataFrame:
+    return digests(bpe.encode_decode(docs, public_tokenizers.path(RANK_FILE)))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"))
 
@@ -91,6 +106,60 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return digests(piece_bpe.encode_decode(docs, public_tokenizers.path(PIECE_FILE)))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    coded, codebooks = vector_codes.compress(vectors, keep=["vec_id", "label"])
+    coded = cut(coded)
+    totals = coded.groupBy("label").agg(F.sum("error").alias("label_error"))
+    totals = totals.withColumnRenamed("label", "__label")
+    return coded.join(totals, F.col("label").eqNullSafe(F.col("__label"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(codebooks.digest()).alias("codebooks_sha256")
+    )
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``: in documents whose crc32 ends in 0, the words from some place on
+    repeat a stretch of words. A null id leaves the text as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = F.floor((n - a) / (g % 8 + 3)) + 1
+        at = F.struct(a.alias("a"), p.alias("p"))
+        return line_dedup.let(at, lambda s: F.array_join(F.transform(w, lambda x, i: F.when(
+            i >= s["a"], F.get(w, (s["a"] + (i - s["a"]) % s["p"]).cast("int"))
+        ).otherwise(x)), " "))
+
+    planted = line_dedup.let(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit("")))
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_repeats(read(spark, sf_dir, "documents")))
+    best = periodic.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.array_join(F.transform(lines, lambda s: F.concat(s, F.lit("\n"))), "")
+    found = found.select("doc_id", "runs", "collapsed", best.alias("b"), text.alias("t"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "b.start",
+        "b.length",
+        "b.period",
+        F.expr("1000 * b.length div b.period").alias("exponent_milli"),
+        F.sha2("t", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +174,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_passage_dedup,
         op9_near_dedup,
         op10_url_filter,
+        op11_piece_bpe,
+        op12_vector_codes,
+        op13_periodic_runs,
     )
 }
 
@@ -112,4 +184,5 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": decontamination.DECONTAMINATION_SQL,
     "op8_line_dedup": LINE_DEDUP,
     "op9_near_dedup": near_dedup.NEAR_DEDUP_SQL,
+    "op12_vector_codes": vector_codes.vector_codes_sql(),
 }
