@@ -17,6 +17,7 @@ states a table has the state after a whole token, so a stream of ids steps once
 from __future__ import annotations
 
 import base64
+import struct
 from dataclasses import dataclass
 from functools import cache
 
@@ -31,7 +32,7 @@ from orthant.llm.common import map_texts, settle
 #: Moves and configurations kept by a task before its tables are emptied.
 MOVES = 900_000
 #: Whole pieces remembered by a task, each of at most 48 characters.
-MEMO = 600_000
+MEMO = 400_000
 #: Above any rank.
 NONE = 1 << 60
 
@@ -191,34 +192,35 @@ class Transducer:
         return out
 
 
-class Encoder:
-    """Texts to ids: cut by the pattern, each piece through the transducer."""
+class Encoder(dict):
+    """Texts to ids: cut by the pattern, each piece through the transducer.
+
+    As a dictionary it holds the packed ids of whole pieces; one that is not there yet is encoded
+    when it is asked for.
+    """
 
     def __init__(self, ranks: dict[bytes, int], trie: Trie, pattern: str):
+        super().__init__()
         bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             bytes_of[rank] = token
         self.ranks, self.transducer = ranks, Transducer(ranks, trie, bytes_of)
         self.pieces = regex.compile(pattern).findall
-        self.memo: dict[str, list[int]] = {}
 
-    def piece(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         data = piece.encode("utf-8")
         whole = self.ranks.get(data)
         ids = [whole] if whole is not None else self.transducer.encode(data)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 48:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = ids
-        return ids
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = packed
+        return packed
 
     def text(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        out: list[int] = []
-        memo = self.memo
-        for piece in self.pieces(text):
-            out += memo.get(piece) or self.piece(piece)
-        return np.array(out, dtype="<u4").tobytes()
+        return b"".join(map(self.__getitem__, self.pieces(text)))
 
 
 # States of the UTF-8 machine.
@@ -254,25 +256,33 @@ class Decoder:
             self.bytes_of[rank] = token
         self.table = table = utf8_table()
         self.after = np.full((9, size), BAD, dtype=np.uint8)
+        longest = max(map(len, self.bytes_of), default=0)
+        padded = np.zeros((size, longest), np.uint8)
+        lengths = np.array([len(t) for t in self.bytes_of], np.int64)
+        for rank, token in enumerate(self.bytes_of):
+            padded[rank, : len(token)] = np.frombuffer(token, np.uint8)
         for state in range(8):
-            for rank, token in enumerate(self.bytes_of):
-                at = state
-                for byte in token:
-                    at = table[at, byte]
-                self.after[state, rank] = at
+            at = np.full(size, state, np.uint8)
+            for i in range(longest):
+                at = np.where(i < lengths, table[at, padded[:, i]], at)
+            self.after[state] = at
         self.clean = self.after[READY] == READY
         self.reset()
 
     def reset(self) -> None:
         self.state, self.tail = READY, b""
 
-    def feed(self, ids: np.ndarray, end: bool = False) -> tuple[bytes, str]:
+    def feed(self, ids: np.ndarray, end: bool = False, text: bool = True) -> tuple[bytes, str]:
         """The bytes of the ids, and the text whose code points are complete so far.
 
-        Ill-formed bytes become U+FFFD, also a code point still open at the end.
+        Ill-formed bytes become U+FFFD, also a code point still open at the end. Without
+        ``text`` only the bytes are made; the machine goes on all the same.
         """
         data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
         state = self._walk(ids)
+        if state == READY and not text:
+            self.state, self.tail = READY, b""
+            return data, ""
         whole = self.tail + data
         cut = len(whole)
         if state == BAD:
@@ -282,7 +292,7 @@ class Decoder:
         if end:
             cut, state = len(whole), READY
         self.state, self.tail = state, whole[cut:]
-        return data, whole[:cut].decode("utf-8", "replace")
+        return data, whole[:cut].decode("utf-8", "replace") if text else ""
 
     def _walk(self, ids: np.ndarray) -> int:
         """The state after the ids. Single steps only where a token begins or ends inside a
@@ -347,7 +357,7 @@ def encode_decode(
             out = []
             for packed in ids:
                 decoder.reset()
-                out.append(decoder.feed(np.frombuffer(packed, dtype="<u4"), end=True)[0])
+                out.append(decoder.feed(np.frombuffer(packed, dtype="<u4"), end=True, text=False)[0])
             return {"ids": ids, "decoded": out}
 
         return run

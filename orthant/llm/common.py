@@ -7,14 +7,15 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Texts are handed to a kernel in slices of at most so many characters; one longer text is a
+#: Texts are handed to a kernel in slices of at most so many bytes; one longer text is a
 #: slice of its own. It bounds the memory of a task and changes no result.
-SLICE_CHARS = 4_000_000
+SLICE_BYTES = 4_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,14 +32,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Bounds of slices of a batch that hold SLICE_CHARS characters each, or one text."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > SLICE_CHARS:
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of a batch of texts that hold SLICE_BYTES bytes each, or one text."""
+    start = total = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and total + size > SLICE_BYTES:
             yield start, i
-            start, size = i, 0
-        size += len(text)
+            start, total = i, 0
+        total += size
     if start < len(texts):
         yield start, len(texts)
 
@@ -62,9 +63,9 @@ def map_texts(
     def run(batches):
         apply = kernel()
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = batch.column(batch.num_columns - 1)
             for a, b in slices(texts):
-                columns = apply(texts[a:b])
+                columns = apply([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 made = [
                     pa.array(columns[f.name], type=arrow.field(len(keep) + i).type)

@@ -238,18 +238,6 @@ def _loaded(path: str) -> Pieces:
     return Pieces.load(path)
 
 
-_ready: dict[str, tuple[Encoder, Decoder]] = {}
-
-
-def _machines(path: str, pieces: Pieces) -> tuple[Encoder, Decoder]:
-    """What a worker process keeps from task to task; the memos only save work."""
-    if path not in _ready:
-        _ready.clear()
-        _ready[path] = Encoder(pieces), Decoder(pieces)
-        settle()
-    return _ready[path]
-
-
 def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``ids`` (begin, tokens, end; little-endian 32-bit) and ``decoded`` of each whole text.
 
@@ -265,7 +253,8 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str]
     shared = df.sparkSession.sparkContext.broadcast(_loaded(path))  # bounded by the vocabulary
 
     def kernel():
-        encoder, decoder = _machines(path, shared.value)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        settle()
 
         def apply(texts: list[str]) -> dict[str, list]:
             ids = [encoder.encode(t) for t in texts]
