@@ -795,12 +795,12 @@ def joint_objective(spark, sf_dir):
     "sign_fix",
     f"WITH {EMB}, s AS ("
     + " UNION ALL ".join(
-        f"(SELECT {j} AS j, sign(x[{j}]) AS s FROM e ORDER BY abs(x[{j}]) DESC, id LIMIT 1)" for j in range(1, 5)
+        f"(SELECT {j} AS j, sign(x[{j}]) AS s FROM e ORDER BY abs(x[{j}]) DESC, id LIMIT 1)" for j in range(1, 65)
     )
     + ") SELECT id, CAST(j - 1 AS INTEGER) AS pos, round(x[j] * s, 6) + 0.0 AS value FROM e, s",
 )
 def sign_fix(spark, sf_dir):
-    return exploded(G.fix_signs(embedding_rows(spark, sf_dir, 4).select("id", "x"), 4), ["id"])
+    return exploded(G.fix_signs(embedding_rows(spark, sf_dir).select("id", "x"), 64), ["id"])
 
 
 # ---------------------------------------------------------------- centres and Lloyd steps
@@ -1129,20 +1129,25 @@ def robust_fit_adaptive(spark, sf_dir):
     return RobustIndicatorClustering(4).fit(planted_outlier_rows(spark, sf_dir)).outliers
 
 
-@query("robust_fit_percent", "SELECT CAST(floor(count(*) * 0.1) AS BIGINT) AS n_outliers,"
-       " count(*) FILTER (c_custkey % 20 = 7) AS n_planted FROM customer")
+@query("robust_fit_percent", "SELECT c_custkey AS id, CAST((SELECT floor(count(*) * 0.1) FROM customer) AS BIGINT)"
+       " AS n_outliers FROM customer WHERE c_custkey % 20 = 7")
 def robust_fit_percent(spark, sf_dir):
+    """The planted rows among the outliers, each with the number of all outliers."""
     rows = planted_outlier_rows(spark, sf_dir)
-    found = RobustIndicatorClustering(4, mu="10%").fit(rows).outliers.join(rows, "id")
-    return found.agg(F.count(F.lit(1)).alias("n_outliers"), F.count_if("planted").alias("n_planted"))
+    found = RobustIndicatorClustering(4, mu="10%").fit(rows).outliers.persist()
+    planted = found.join(rows.where("planted"), "id").select("id")
+    return planted.withColumn("n_outliers", F.lit(found.count()).cast("long"))
 
 
-@query("robust_labels", "SELECT c_custkey AS id, c_nationkey % 4 AS label, c_nationkey % 4 AS mapped"
-       " FROM customer WHERE c_custkey % 20 <> 7")
+@query("robust_labels", "SELECT c_custkey AS id, c_custkey % 20 = 7 AS planted,"
+       " CASE WHEN c_custkey % 20 <> 7 THEN c_nationkey % 4 END AS label FROM customer")
 def robust_labels(spark, sf_dir):
+    """Every id; rows that were moved off their axis are marked and have no label to compare."""
     rows = planted_outlier_rows(spark, sf_dir)
     labels = RobustIndicatorClustering(4, mu=0.2).fit(rows).labels
-    return matched(labels, rows.where(~F.col("planted")))
+    clean = matched(labels, rows.where(~F.col("planted"))).select("id", F.col("mapped").alias("found"))
+    every = labels.select("id").join(rows.select("id", "planted"), "id").join(clean, "id", "left")
+    return every.select("id", "planted", F.col("found").alias("label"))
 
 
 @query("corrected_data")

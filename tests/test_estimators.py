@@ -230,16 +230,17 @@ def test_plans_stay_narrow(spark):
 
 
 def test_products_shuffle_no_edges(spark):
-    from orthant.operators.eigen import _append_block
+    from orthant.operators.eigen import _next_block
 
     edges, _, _ = block_graph(spark, (12, 8))
     g = NodeGraph.build(edges, True, Scratch(spark, "test"))
     g.edges.count()
-    state = g.nodes.select("id", "deg", "slots", F.array(F.lit(1.0), F.lit(2.0)).alias("s"))
+    block = F.array(F.lit(1.0), F.lit(2.0))
+    state = g.nodes.select("id", "deg", "slots", block.alias("now"), block.alias("before"))
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        step = _append_block(g, state, True, 2, 0.0, None)
+        step = _next_block(g, state, True, 2, 0.0, None)
         plan = step._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
