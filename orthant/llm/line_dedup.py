@@ -49,9 +49,12 @@ def lines_of(text: Column) -> Column:
 
 
 def words_of(line: Column, least: int) -> Column:
-    """How many words a line counts for: each letter of a script without spaces is one."""
+    """How many words a line counts for: each letter of a script without spaces is one.
+
+    The number is only compared with ``least``, so the words of long lines are not counted.
+    """
     count = F.regexp_count(line, F.lit(PASSAGE_WORD))
-    return F.when(F.octet_length(line) >= LONG_BYTES, F.greatest(count, F.lit(least))).otherwise(count)
+    return F.when(F.octet_length(line) >= LONG_BYTES, F.lit(least)).otherwise(count)
 
 
 def fingerprints(df: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
@@ -113,8 +116,8 @@ def fingerprints(df: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS
 def repeated_lines(df: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id``, ``th`` and ``gone``: the sorted line numbers to delete of each document that
     has any. Rows that share id and text are one document."""
-    prints = fingerprints(df, window, min_words)
-    # cut off, so that the joins read both sides from exchanges and can split a hot line
+    # written, so that the texts are worked through once
+    prints = cut(fingerprints(df, window, min_words))
     shared = cut(prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
     met = prints.join(shared, "fp").select("doc_id", "th", F.explode("ws").alias("w"))
     met = cut(met.select("doc_id", "th", "w.edge", "w.h1", "w.h2", "w.lines").distinct())

@@ -1,12 +1,17 @@
 """Line dedup as plain SQL, without fingerprints."""
 
-LINE_DEDUP = r"""
+# The scripts that put no spaces between words, and white space, as in line_dedup.
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+SPACE = r"\s\v\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+LINE_DEDUP = rf"""
 WITH l AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS s,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i
   FROM documents),
 f AS (
-  SELECT doc_id, i, trim(s) AS s, len(regexp_split_to_array(trim(s), ' +')) AS w,
+  SELECT doc_id, i, trim(s) AS s, CASE WHEN strlen(trim(s)) >= 100 THEN 3
+         ELSE len(regexp_extract_all(trim(s), '[{UNSPACED}]|[^{SPACE}{UNSPACED}]+')) END AS w,
          row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k,
          count(*) OVER (PARTITION BY doc_id) AS n
   FROM l WHERE trim(s) <> ''),

@@ -4,9 +4,12 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
+import regex
 from oracle_check import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orthant.llm import decontaminate as decon
@@ -100,6 +103,16 @@ def test_proximity(spark):
 # ------------------------------------------------------------------ lines
 
 
+LINE_WORD = regex.compile(
+    r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+    r"|[^\s\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+"
+)
+
+
+def line_words(line, least):
+    return least if len(line.encode()) >= 100 else len(LINE_WORD.findall(line))
+
+
 def brute_lines(rows, window=2, least=3):
     """rows: distinct (id, text) in order. Returns the deleted line numbers of each."""
     seen, gone = set(), []
@@ -111,7 +124,7 @@ def brute_lines(rows, window=2, least=3):
         windows += [("edge", e) for e in ends]
         out = set()
         for kind, part in sorted(windows, key=lambda x: x[1][0][0]):
-            if sum(len(re.split(" +", s)) for _, s in part) < least:
+            if sum(line_words(s, least) for _, s in part) < least:
                 continue
             key = (kind, tuple(s for _, s in part))
             if key in seen:
@@ -169,6 +182,22 @@ def test_lines_without_spaces_count_as_long(spark):
     assert {r["doc_id"] for r in got if r["n_removed"]} == {5, 6, 7, 8, 9}
 
 
+def test_one_rule_in_operator_sql_and_brute_force(spark, tmp_path):
+    lines = ["天地玄黄宇宙洪荒", "กขคงจฉชซ", "one\ttwo\tthree", "one\u00a0two", "x" * 100, "two words", "a", "ひら がな"]
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randrange(1, 4)))) for i in range(60)] + [(70, None), (71, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text_sha256"]) for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert {r[0]: r[1:] for r in con.execute(queries.LINE_DEDUP).fetchall()} == got
+    assert {i: n[1] for i, n in got.items()} == {
+        i: len(g) for (i, _), g in zip(rows, brute_lines(rows), strict=True)
+    }
+    assert sum(n[1] for n in got.values()) > 20
+
+
 def brute_passages(rows, least=50):
     """Words left of each text: those of later occurrences of ``least`` words go."""
     seen, left = set(), []
@@ -380,17 +409,23 @@ def test_pipeline_stages(spark):
     for name, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, DATA)
         assert stage.columns == docs.columns, name
-        stage = spark.createDataFrame(stage.collect(), docs.schema)
+        stage = spark.createDataFrame(stage.collect(), docs.schema).repartition(4)
         rows.append({r["doc_id"]: r["text"] for r in stage.collect()})
     assert set(rows[0]) == kept
     before = sorted(rows[0].items())
-    gone = brute_lines(before)
+    gone, by_lines = brute_lines(before), []
     for (i, text), numbers in zip(before, gone, strict=True):
         left = "\n".join(s for k, s in enumerate(text.split("\n")) if k not in numbers)
         if numbers and not left.replace("\n", "").strip(" "):
+            left = ""
+        by_lines.append((i, text, left))
+    # then what lines still share
+    for (i, text, left), words in zip(by_lines, brute_passages([(i, t) for i, _, t in by_lines]), strict=True):
+        if text != left and not left or left.split() and not words:
             assert i not in rows[1]
         else:
-            assert rows[1][i] == left
+            assert rows[1][i].split() == words
+            assert rows[1][i] == left or words != left.split()
     lines = sorted(rows[1].items())
     classes = brute_classes(lines)
     firsts = {c: min(i for (i, _), k in zip(lines, classes, strict=True) if k == c) for c in classes}
@@ -399,3 +434,23 @@ def test_pipeline_stages(spark):
     assert set(rows[3]) == {i for i, t in rows[2].items() if brute_contamination(t, items)[1] == 0}
     result = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, DATA).collect()}
     assert result == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows[3].items()}
+
+
+CLASHES = "score predicted n_lines n_removed n_cut class_id n_hit ids __row".split()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_odd_tables(spark, empty):
+    """Null, empty, long and repeated texts, null ids, and columns named like those of operators."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    odd = [(None, None), (None, "a b c"), (9001, ""), (9002, "long words here " * 30_000), (9002, "x")]
+    table = docs.union(spark.createDataFrame(odd, "doc_id long, text string"))
+    table = table.select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASHES], F.lit(None).cast("int").alias("n_chars"))
+    table = table.limit(0) if empty else table
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, table, DATA)
+        assert out.columns == table.columns, name
+        rows = out.collect()
+        assert bool(rows) != empty, name
+        assert all(r[c] == f"mine {c}" for r in rows for c in CLASHES), name
+    assert corpus_pipeline.encode(spark, table, DATA).count() == table.count()
