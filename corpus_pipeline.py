@@ -17,27 +17,47 @@ from orthant.llm.common import read, shared_root
 from orthant.llm.queries import round_trip
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Id, text, and the whole row in one column, so that no name meets an operator's own."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select("doc_id", "text", row.alias("__row"))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    scored = quality.classify(docs, read(spark, sf_dir, "labels"), keep=docs.columns)
-    return scored.where("predicted = 1").select(docs.columns)
+    """Documents that the quality classifier accepts. A null text is scored as an empty one,
+    repeated rows are scored each, and other columns are carried over whatever their names."""
+    labels = read(spark, sf_dir, "labels")
+    scored = quality.classify(packed(docs), labels, keep=["doc_id", "__row"])
+    return scored.where("predicted = 1").select("__row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeated runs of lines; one that had nothing else goes."""
-    kept = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("text") != ""))
-    sized = kept.withColumn("n_chars", F.length("text").cast("long"))
-    return sized.select(docs.columns)
+    """Documents without later repeated lines and passages; one that had nothing else goes.
+
+    A null or empty text stays. Repeated rows are one document. ``n_chars`` is that of the new
+    text; other columns are carried over whatever their names.
+    """
+    cut = line_dedup.dedup_text(packed(docs))
+    untouched = (F.col("n_removed") == 0) & (F.col("n_cut") == 0)
+    kept = cut.where(untouched | (F.col("text") != ""))
+    types = dict(docs.dtypes)
+    own = {"text": F.col("text"), "n_chars": F.length("text")}
+    return kept.select(
+        *[own.get(c, F.col("__row").getField(c)).cast(types[c]).alias(c) for c in docs.columns]
+    )
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near duplicates."""
-    return near_dedup.one_of_each(docs).select(docs.columns)
+    """The first document of each class of near duplicates, repeated rows being one class; other
+    columns are carried over whatever their names."""
+    return near_dedup.one_of_each(packed(docs)).select("__row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).select(docs.columns)
+    """Documents without a passage of the benchmark; null and empty texts have none. Other
+    columns are carried over whatever their names."""
+    kept = decontaminate.decontaminate(packed(docs), read(spark, sf_dir, "benchmark"))
+    return kept.select("__row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
