@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -18,7 +18,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from orthant.functions import rows as R  # noqa: E402
 from orthant.functions import scores as S  # noqa: E402
 from orthant.operators import graph as G  # noqa: E402
-from orthant.operators.knn import knn_graph  # noqa: E402
+from orthant.operators.eigen import NodeGraph, leading_eigenvectors  # noqa: E402
+from orthant.operators.knn import knn_graph, knn_neighbors  # noqa: E402
 from orthant.operators.matching import best_mapping, label_changes, relabel  # noqa: E402
 from orthant.operators.passes import polar_factor  # noqa: E402
 from orthant.operators.selection import curvature_threshold, kth_largest  # noqa: E402
@@ -36,6 +37,7 @@ from orthant.plans.robust import (  # noqa: E402
     tall_qr,
     update_rows,
 )
+from orthant.session import Scratch  # noqa: E402
 from orthant.sources.vectors import (  # noqa: E402
     VectorTable,
     load_labelled,
@@ -711,6 +713,21 @@ def knn_graph_query(spark, sf_dir):
     return knn_graph(embedding_rows(spark, sf_dir).select("id", "x"))
 
 
+@query(
+    "knn_distances",
+    f"WITH {PLANTED}, d AS (SELECT a.id AS src, b.id AS dst, "
+    + " + ".join(f"(a.x[{i}] - b.x[{i}]) * (a.x[{i}] - b.x[{i}])" for i in range(1, 5))
+    + " AS d2 FROM f a, f b WHERE a.id <> b.id),"
+    " r AS (SELECT src, d2, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM d)"
+    " SELECT src, CAST(rank AS INTEGER) AS rank, round(d2, 6) + 0.0 AS d2 FROM r WHERE rank <= 4",
+)
+def knn_distances(spark, sf_dir):
+    """Squared distances to the four nearest of the grouped rows, which fill several blocks."""
+    found = knn_neighbors(planted_rows(spark, sf_dir).select("id", "x"), 4)
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
+    return found.select("src", rank.alias("rank"), r6("d2").alias("d2"))
+
+
 @query(
     "symmetrize",
     f"WITH {SYMMETRIC} SELECT src, dst, round(w, 6) + 0.0 AS w FROM edges",
@@ -803,6 +820,36 @@ def sign_fix(spark, sf_dir):
     return exploded(G.fix_signs(embedding_rows(spark, sf_dir).select("id", "x"), 64), ["id"])
 
 
+def separate_edges(spark, sf_dir):
+    """The links within the three groups, without those between them."""
+    nodes = planted_nodes(spark, sf_dir)
+    ends = [nodes.select(F.col("id").alias(e), F.col("label").alias(f"{e}_label")) for e in ("src", "dst")]
+    edges = G.symmetrize(planted_edges(spark, sf_dir)).join(ends[0], "src").join(ends[1], "dst")
+    return edges.where("src_label = dst_label").select("src", "dst", "w")
+
+
+@query(
+    "eigen_projector",
+    f"WITH {SYMMETRIC}, e AS (SELECT src, dst, w, s.label AS label FROM edges JOIN nodes s ON s.id = src"
+    " JOIN nodes d ON d.id = dst WHERE s.label = d.label),"
+    " own AS (SELECT src AS id, label, sum(w) AS deg FROM e WHERE src <> dst GROUP BY src, label),"
+    " volume AS (SELECT label, sum(deg) AS v FROM own GROUP BY label),"
+    " pairs AS (SELECT src, dst FROM e UNION SELECT id, id FROM own)"
+    " SELECT src, dst, round(sqrt(a.deg * b.deg) / v, 6) + 0.0 AS value FROM pairs"
+    " JOIN own a ON a.id = src JOIN own b ON b.id = dst JOIN volume ON volume.label = a.label",
+)
+def eigen_projector(spark, sf_dir):
+    """V V' of the leading eigenvectors, at every edge and node: the same for any basis."""
+    edges = separate_edges(spark, sf_dir)
+    scratch = Scratch(spark, "projector")
+    vectors, _, _ = leading_eigenvectors(NodeGraph.build(edges, True, scratch), 3, scratch, tol=1e-8)
+    pairs = edges.select("src", "dst").union(vectors.select("id", "id")).distinct()
+    both = pairs.join(vectors.select(F.col("id").alias("src"), F.col("x").alias("a")), "src").join(
+        vectors.select(F.col("id").alias("dst"), F.col("x").alias("b")), "dst"
+    )
+    return both.select("src", "dst", r6(R.dot(F.col("a"), F.col("b"))).alias("value"))
+
+
 # ---------------------------------------------------------------- centres and Lloyd steps
 
 START = 0.6 * np.eye(4) + 0.1

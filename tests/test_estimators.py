@@ -191,6 +191,29 @@ def test_eigenvectors(spark, normalized):
     assert np.allclose(x @ x.T, vecs[:, :3] @ vecs[:, :3].T, atol=1e-6)
 
 
+@pytest.mark.parametrize("normalized", [True, False])
+def test_label_term_against_dense_eigenvectors(spark, normalized):
+    edges, a, truth = block_graph(spark, (20, 15, 10))
+    d, n = a.sum(1), len(a)
+    lap = np.eye(n) - a / np.sqrt(np.outer(d, d)) if normalized else np.diag(d) - a
+    # label 3 of 4 has no node, and one label is spread over two blocks
+    label = np.where(np.arange(n) % 7 == 0, 1, np.minimum(truth, 1) * 2)
+    h = np.eye(4)[label]
+    rho = 0.3
+    values, vecs = np.linalg.eigh(-lap + rho * h @ h.T)
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(label)], "id long, prediction int")
+    scratch = Scratch(spark, "test")
+    g = NodeGraph.build(edges, normalized, scratch)
+    x, got, error = leading_eigenvectors(g, 3, scratch, labels=labels, rho=rho, n_labels=4)
+    x = array(x)
+    assert np.allclose(got, values[::-1][:3], atol=1e-7) and error < 1e-5
+    assert np.allclose(x @ x.T, vecs[:, -3:] @ vecs[:, -3:].T, atol=1e-5)
+    # the same from a start near the result
+    start = spark.createDataFrame([(i, [float(e) for e in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    _, again, _ = leading_eigenvectors(g, 3, scratch, labels=labels, rho=rho, n_labels=4, start=start)
+    assert np.allclose(again, values[::-1][:3], atol=1e-7)
+
+
 def test_hubs_are_spread_without_changing_products(spark, monkeypatch):
     edges, a, _ = block_graph(spark, (12, 8))
     monkeypatch.setattr(G, "SLOT_EDGES", 5)
@@ -240,7 +263,7 @@ def test_products_shuffle_no_edges(spark):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        step = _next_block(g, state, True, 2, 0.0, None)
+        step = _next_block(g, state, True, 2)
         plan = step._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
