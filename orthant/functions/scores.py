@@ -7,10 +7,12 @@ is as welcome as a table of three clusters.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthant.operators.matching import best_mapping
+from orthant.operators.matching import LargePart, best_mapping
 
 
 def contingency(df: DataFrame, truth: str = "truth", prediction: str = "prediction") -> DataFrame:
@@ -135,11 +137,19 @@ def cluster_scores(
     prediction: str = "prediction",
     average: str = "arithmetic",
 ) -> DataFrame:
-    """Long table ``(metric, value)``: the six scores and purity."""
+    """Long table ``(metric, value)``: the six scores and purity.
+
+    Accuracy alone needs labels to be matched. Where they are too many for that, it is null, with
+    a warning; the other scores take any number of labels.
+    """
     cells = contingency(df, truth, prediction).persist()
     rates = scores_from_cells(cells, average)
     names = rates.columns
     pairs = ", ".join(f"'{name}', {name}" for name in names)
     long = rates.selectExpr(f"stack({len(names)}, {pairs}) as (metric, value)")
-    acc = accuracy_from_cells(cells, best_mapping(cells))
+    try:
+        acc = accuracy_from_cells(cells, best_mapping(cells))
+    except LargePart as large:
+        warnings.warn(f"no accuracy: {large}", stacklevel=2)
+        acc = cells.sparkSession.range(1).select(F.lit(None).cast("double").alias("accuracy"))
     return long.unionByName(acc.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")))

@@ -77,12 +77,19 @@ def _ordered(values) -> list:
     return sorted(values, key=lambda v: (v is None, v))
 
 
+class LargePart(ValueError):
+    """A connected part of the label table is too large to be matched."""
+
+    def __init__(self):
+        super().__init__(f"a connected part of the label table has over {MAX_LABELS} labels a side")
+
+
 def match_part(rows: list[tuple]) -> list[tuple]:
     """``(cluster, mapped)`` of one connected part, given as (cluster, class, n)."""
     clusters = _ordered({r[0] for r in rows})
     classes = _ordered({r[1] for r in rows})
     if max(len(clusters), len(classes)) > MAX_LABELS:
-        raise ValueError(f"a connected part of the label table has over {MAX_LABELS} labels a side")
+        raise LargePart
     row_of = max_weight_assignment(match_matrix(rows, clusters, classes).T)
     return [
         (c, classes[row_of[i]] if row_of[i] < len(classes) else None)
@@ -134,7 +141,8 @@ def find_parts(cells: DataFrame) -> DataFrame:
 def best_mapping(cells: DataFrame) -> DataFrame:
     """``(cluster, mapped)``: the one-to-one mapping that agrees on most rows.
 
-    Only labels that share rows are matched. A cluster without a partner maps to null.
+    Only labels that share rows are matched. A cluster without a partner maps to null. A
+    connected part of over MAX_LABELS labels a side is an error, raised before any matching.
     """
     cells = cells.select("cluster", "class", "n")
     schema = T.StructType(
@@ -154,7 +162,11 @@ def best_mapping(cells: DataFrame) -> DataFrame:
         columns = zip(*found)
         return pa.table([pa.array(v, t) for v, (_, t) in zip(columns, fields)], names=["cluster", "mapped"])
 
-    return find_parts(cells).groupBy("part").applyInArrow(matched, schema)
+    parts = find_parts(cells)
+    sides = parts.groupBy("part").agg(*[F.count_distinct(F.struct(c)).alias(c) for c in ("cluster", "class")])
+    if not sides.where(F.greatest("cluster", "class") > MAX_LABELS).isEmpty():
+        raise LargePart
+    return parts.groupBy("part").applyInArrow(matched, schema)
 
 
 def relabel(df: DataFrame, mapping: DataFrame, column: str = "prediction") -> DataFrame:

@@ -100,6 +100,20 @@ def test_any_number_of_labels(spark):
     assert len(got) == 7 and got["accuracy"] == 1.0 and got["purity"] == 1.0
 
 
+@pytest.mark.parametrize("cells_on_driver", [100_000, 3])
+def test_other_scores_stand_without_a_matching(spark, monkeypatch, cells_on_driver):
+    from orthant.operators import matching as M
+
+    rows = spark.range(400).selectExpr("id % 10 as truth", "id % 7 as prediction")
+    whole = {r["metric"]: r["value"] for r in cluster_scores(rows).collect()}
+    monkeypatch.setattr(M, "DRIVER_CELLS", cells_on_driver)
+    monkeypatch.setattr(M, "MAX_LABELS", 6)
+    with pytest.warns(UserWarning, match="over 6 labels"):
+        got = {r["metric"]: r["value"] for r in cluster_scores(rows).collect()}
+    assert got.pop("accuracy") is None and whole.pop("accuracy") > 0
+    assert got == whole
+
+
 def test_parts_found_by_spark(spark, monkeypatch):
     from orthant.operators import matching as M
 
