@@ -8,10 +8,12 @@ in a register with their probability Jaccard, at equal weights the Jaccard of th
 
 Registers are grouped in bands. Documents that agree in a band share a bucket; each is compared
 with one representative of the bucket, not with all others, and only verified links (exact
-Jaccard of the shingle sets) count. Where a bucket is then still spread over several classes,
-the members of the smaller classes are compared with a few fresh representatives of the larger
-ones, and what is still apart after that with all members of the other class, so no candidate
-link is lost; pairs that are in one class already, the bulk of a large group, are never formed.
+Jaccard of the shingle sets) count. Where a bucket is then still spread over several classes, a
+pair of its members in different classes is compared if they share one of their rarest shingles:
+sets of similarity t have at least t of each in common, so among the n - ceil(t n) + 1 rarest
+shingles of each, by any one order, one is common; and what follows the first common one in
+either set must still be enough. Both bounds are exact and drop no link, and documents that have
+only frequent passages in common are not paired.
 
 Texts with the same words are one node from the start, so exact copies cost one row each.
 """
@@ -21,7 +23,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +40,8 @@ from orthant.llm.words import find_words
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: One-bit register values that may differ in a pair worth verifying: of 125 bits 12.5 differ on
-#: average at 0.8, with a deviation of 3.4; 33 is six deviations above.
-MOST_BITS = 33
 #: Words of documents whose registers are filled together.
 TOGETHER = 30_000
-#: Fresh representatives that the members of mixed buckets are compared with.
-ROUNDS = 3
 #: Words whose hash a task remembers.
 MEMO = 400_000
 
@@ -112,9 +108,9 @@ def prob_minhash(
     return kept.reshape(n, registers)
 
 
-def signatures(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes, and the lowest bit of each register's item packed into two numbers, of
-    documents given by their word hashes."""
+def signatures(texts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+    """Band hashes, and the number of different shingles, of documents given by their word
+    hashes."""
     found = [np.unique(shingles(ids)) for ids in texts]
     owner = np.repeat(np.arange(len(texts)), [len(items) for items in found])
     items = np.concatenate(found)
@@ -122,22 +118,18 @@ def signatures(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     band = np.broadcast_to(np.arange(BANDS, dtype=_U), (len(texts), BANDS))
     for r in range(ROWS):
         band = mix((band + _U(0x9E3779B97F4A7C15)) ^ kept.reshape(-1, BANDS, ROWS)[:, :, r])
-    bits = (mix(kept) & _U(1)).astype(np.uint8)
-    packed = np.packbits(np.pad(bits, ((0, 0), (0, 3))), axis=1).view("<i8")
-    return band.view(np.int64), packed
+    return band.view(np.int64), [len(items) for items in found]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, th, node (k1, k2: hash of the words), n_shingles, bands, b1, b2 of each row."""
+    """doc_id, th, k1, k2 (hash of the words), n (different shingles) and bands of each row."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     added = StructType(
         [
             StructField("k1", LongType()),
             StructField("k2", LongType()),
-            StructField("n_words", IntegerType()),
+            StructField("n", IntegerType()),
             StructField("bands", ArrayType(LongType())),
-            StructField("b1", LongType()),
-            StructField("b2", LongType()),
         ]
     )
 
@@ -153,18 +145,16 @@ def sketches(docs: DataFrame) -> DataFrame:
                 key = np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), "<i8")
                 out["k1"].append(int(key[0]))
                 out["k2"].append(int(key[1]))
-                out["n_words"].append(len(ids))
             none = np.zeros(0, np.int64)
-            out["bands"], out["b1"], out["b2"] = [none] * len(texts), [0] * len(texts), [0] * len(texts)
+            out["bands"], out["n"] = [none] * len(texts), [0] * len(texts)
             group: list[int] = []
             for i in range(len(texts)):
                 if len(words[i]):
                     group.append(i)
                 if group and (i + 1 == len(texts) or sum(len(words[g]) for g in group) >= TOGETHER):
-                    bands, bits = signatures([words[g] for g in group])
-                    for g, band, pair in zip(group, bands, bits, strict=True):
-                        out["bands"][g] = band
-                        out["b1"][g], out["b2"][g] = int(pair[0]), int(pair[1])
+                    bands, sizes = signatures([words[g] for g in group])
+                    for g, band, size in zip(group, bands, sizes, strict=True):
+                        out["bands"][g], out["n"][g] = band, size
                     group = []
             return out
 
@@ -173,138 +163,151 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_texts(keyed, "text", kernel, added, ["doc_id", "th"])
 
 
-def node(prefix: str = "") -> Column:
-    return F.struct(F.col(prefix + "k1").alias("k1"), F.col(prefix + "k2").alias("k2"))
+def numbered(rows: DataFrame) -> DataFrame:
+    """``node`` (a number), k1, k2, n, bands, doc_id, th: one row for each sequence of words.
 
+    The numbers are fixed by writing the table once.
+    """
+    return cut(rows.dropDuplicates(["k1", "k2"]).withColumn("node", F.monotonically_increasing_id()))
+
+
+def close_sizes(m: str, n: str, threshold: float) -> Column:
+    """Whether sets of these sizes can have the similarity at all."""
+    return F.least(m, n) >= threshold * F.greatest(m, n) - 1e-6
 
-def representative_pairs(nodes: DataFrame) -> DataFrame:
+
+def representative_pairs(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Each member of a bucket with the bucket's least node: distinct (a, b)."""
-    members = nodes.select("k1", "k2", "b1", "b2", F.explode("bands").alias("band"))
+    members = nodes.select("node", "n", F.explode("bands").alias("band"))
     # cut off, so that a hot bucket can be split in the join
     least = cut(
         members.groupBy("band")
-        .agg(
-            F.count("*").alias("c"),
-            F.min("k1").alias("r1"),
-            F.min_by("k2", "k1").alias("r2"),
-            F.min_by("b1", "k1").alias("rb1"),
-            F.min_by("b2", "k1").alias("rb2"),
-        )
+        .agg(F.count("*").alias("c"), F.min("node").alias("b"), F.min_by("n", "node").alias("bn"))
         .where("c > 1")
     )
-    differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("rb1"))) + F.bit_count(
-        F.col("b2").bitwiseXOR(F.col("rb2"))
-    )
     return (
         members.join(least, "band")
-        .where((F.col("k1") != F.col("r1")) | (F.col("k2") != F.col("r2")))
-        .where(differ <= MOST_BITS)
-        .select(node().alias("a"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("b"))
+        .where((F.col("node") != F.col("b")) & close_sizes("n", "bn", threshold))
+        .select(F.col("node").alias("a"), "b")
         .distinct()
     )
 
 
-def mixed_members(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """band, node, b1, b2, class of the members of buckets that hold more than one class."""
-    members = members.select("band", "node", "b1", "b2").join(classes, "node", "left")
-    members = members.withColumn("class", F.coalesce("class", "node"))
+def mixed_members(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, n, class and ``bands`` of the nodes in buckets that hold more than one class, with
+    those buckets only."""
+    members = nodes.select("node", "n", F.explode("bands").alias("band")).join(classes, "node", "left")
+    members = cut(members.withColumn("class", F.coalesce("class", "node")))
     mixed = (
         members.groupBy("band")
-        .agg(F.min("class.k1").alias("lo"), F.max("class.k1").alias("hi"))
+        .agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
         .where("lo <> hi")
         .select("band")
     )
-    return cut(members.join(cut(mixed), "band"))
-
+    # a node is in at most BANDS buckets
+    return members.join(cut(mixed), "band").groupBy("node", "n", "class").agg(F.collect_list("band").alias("bands"))
 
-def apart() -> Column:
-    """How many register bits of two nodes differ."""
-    return F.bit_count(F.col("x1").bitwiseXOR(F.col("b1"))) + F.bit_count(
-        F.col("x2").bitwiseXOR(F.col("b2"))
-    )
 
+def rarest_shingles(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """node, n, class, bands, ``g`` and ``at``: of each member the rarest shingles, one of which it
+    shares with every set of the given similarity, and how many come before it in the order.
 
-def outsiders(members: DataFrame) -> DataFrame:
-    """a, x1, x2, band, class: nodes of the smaller of two classes in a bucket, with the larger
-    one as ``class``."""
-    groups = cut(members.groupBy("band", "class").agg(F.count("*").alias("n")))
-    size = F.struct("n", "class")
-    small = groups.select("band", size.alias("s"))
-    large = groups.select("band", size.alias("l"))
-    met = small.join(large, "band").where(F.col("s") < F.col("l"))
-    met = cut(met.select("band", F.col("s.class").alias("class"), F.col("l.class").alias("other")))
-    return met.join(members, ["band", "class"]).select(
-        F.col("node").alias("a"), F.col("b1").alias("x1"), F.col("b2").alias("x2"), "band", F.col("other").alias("class")
+    Shingles of one class only come first in the order; they make no pair and are counted only.
+    """
+    own = cut(members.join(sets, "node"))
+    posted = own.select("node", "class", F.explode("g").alias("g"))
+    spread = cut(
+        posted.groupBy("g")
+        .agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+        .where("lo <> hi")
+        .select("g", "c")
     )
-
-
-def fresh_pairs(members: DataFrame, salt: int) -> DataFrame:
-    """Each outsider with one member of the larger class of its bucket, another one each round."""
-    place = F.xxhash64("node", F.lit(salt))
-    chosen = members.groupBy("band", "class").agg(
-        F.min(F.struct(place.alias("h"), "node", "b1", "b2")).alias("r")
+    # a list is no longer than the document's own set
+    shared = (
+        posted.join(spread, "g")
+        .groupBy("node")
+        .agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("shared"))
+    )
+    first = F.col("n") - F.ceil(threshold * F.col("n") - 1e-6) + 1  # how many are needed
+    alone = F.col("n") - F.size("shared")
+    left = F.greatest(first - alone, F.lit(0)).cast("int")
+    return (
+        own.drop("g")
+        .join(shared, "node")
+        .select(
+            "node",
+            "n",
+            "class",
+            "bands",
+            alone.alias("alone"),
+            F.posexplode(F.slice("shared", F.lit(1), left)["g"]).alias("i", "g"),
+        )
+        .select("node", "n", "class", "bands", "g", (F.col("alone") + F.col("i")).alias("at"))
     )
-    met = cut(outsiders(members)).join(cut(chosen.select("band", "class", "r.node", "r.b1", "r.b2")), ["band", "class"])
-    return met.where(apart() <= MOST_BITS).select("a", F.col("node").alias("b")).distinct()
-
 
-def crossing_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of nodes that share a bucket but are in different classes. Each outsider is
-    compared once with each member of the other class, whatever number of buckets they share."""
-    alone = cut(outsiders(members).select("a", "x1", "x2", "class").distinct())
-    others = cut(members.select("class", F.col("node").alias("b"), "b1", "b2").distinct())
-    return alone.join(others, "class").where(apart() <= MOST_BITS).select("a", "b").distinct()
 
+def crossing_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes of different classes that share a bucket and one of their rarest shingles.
 
-def bucket_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and ``text`` of the nodes that share a bucket with another one."""
-    crowded = (
-        nodes.select(F.explode("bands").alias("band"))
-        .groupBy("band")
-        .count()
-        .where("count > 1")
-        .select("band")
+    Similar sets of m and n shingles share t / (1 + t) * (m + n). If ``g`` is the first that two
+    sets share, all that they share is at or after it in both; a pair that is similar passes
+    with its first one.
+    """
+    rare = cut(rarest_shingles(members, sets, threshold))
+    other = rare.select(
+        "g",
+        F.col("node").alias("b"),
+        F.col("n").alias("bn"),
+        F.col("class").alias("bc"),
+        F.col("bands").alias("bb"),
+        F.col("at").alias("b_at"),
     )
-    wanted = (
-        nodes.select("k1", "k2", "doc_id", "th", F.explode("bands").alias("band"))
-        .join(crowded, "band", "left_semi")
-        .select("k1", "k2", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    needed = threshold / (1 + threshold) * (F.col("n") + F.col("bn")) - 1e-6
+    enough = F.least(F.col("n") - F.col("at"), F.col("bn") - F.col("b_at")) >= needed
+    return (
+        rare.join(other, "g")
+        .where((F.col("node") < F.col("b")) & (F.col("class") != F.col("bc")))
+        .where(enough & F.arrays_overlap("bands", "bb"))
+        .select(F.col("node").alias("a"), "b")
         .distinct()
     )
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = keyed.join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
-    )
-    return found.select(node().alias("node"), "text").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the given Jaccard similarity."""
-    other = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        .join(other, "b")
-        .select("a.k1", "a.k2", F.col("b.k1").alias("m1"), F.col("b.k2").alias("m2"), "ta", "tb")
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node`` and ``g``, its different shingles, of the nodes that share a bucket."""
+    banded = nodes.select("node", "doc_id", "th", F.explode("bands").alias("band"))
+    crowded = banded.groupBy("band").count().where("count > 1").select("band")
+    wanted = (
+        banded.join(crowded, "band", "left_semi")
+        .select("node", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+        .distinct()
     )
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    found = keyed.join(wanted, same).select("node", "text")
 
-    def run(batches):
+    def kernel():
         hashes = WordHashes()
-        last, known = None, None
-        for batch in batches:
-            ta, tb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            keep = []
-            for i, (x, y) in enumerate(zip(ta, tb, strict=True)):
-                if y != last:
-                    last, known = y, np.unique(shingles(hashes.of(y)))
-                mine = np.unique(shingles(hashes.of(x)))
-                shared = len(np.intersect1d(mine, known, assume_unique=True))
-                if shared >= threshold * (len(mine) + len(known) - shared) - 1e-9:
-                    keep.append(i)
-            taken = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays(taken.columns[:4], names=["k1", "k2", "m1", "m2"])
-
-    good = both.mapInArrow(run, "k1 long, k2 long, m1 long, m2 long")
-    return good.select(node().alias("a"), F.struct(F.col("m1").alias("k1"), F.col("m2").alias("k2")).alias("b"))
+        settle()
+        return lambda texts: {"g": [np.unique(shingles(hashes.of(t))).view(np.int64) for t in texts]}
+
+    added = StructType([StructField("g", ArrayType(LongType()))])
+    return map_texts(found, "text", kernel, added, ["node"]).dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least the given Jaccard similarity.
+
+    Sets are shuffled with the pairs of ``a``; as ``b``, which may be the representative of very
+    many, a set is sent once to each task.
+    """
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("g").alias("ga")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("g").alias("gb")), "b")
+        .where(shared >= threshold * (F.size("ga") + F.size("gb") - shared) - 1e-9)
+        .select("a", "b")
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -345,24 +348,18 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     marks the rows of the class's first document, by doc_id (null ids last) and text hash.
     """
     rows = cut(sketches(docs))
-    nodes = rows.where("n_words > 0").dropDuplicates(["k1", "k2"])
-    texts = cut(bucket_texts(docs, nodes))
-    links = cut(verified(cut(representative_pairs(nodes)), texts, threshold))
+    nodes = numbered(rows)
+    sets = cut(shingle_sets(docs, nodes))
+    links = cut(verified(cut(representative_pairs(nodes, threshold)), sets, threshold))
     classes = components(links)
-    members = nodes.select(node().alias("node"), "b1", "b2", F.explode("bands").alias("band"))
-    for salt in range(ROUNDS + 1):
-        # buckets of one class stay so: each round looks at what was mixed before
-        members = mixed_members(members, classes)
-        if members.isEmpty():
-            break
-        # cut off in steps: the planner takes long over joins of this many struct columns
-        pairs = cut(fresh_pairs(members, salt) if salt < ROUNDS else crossing_pairs(members))
-        more = cut(verified(pairs, texts, threshold))
+    members = cut(mixed_members(nodes, classes))
+    if not members.isEmpty():
+        more = cut(verified(cut(crossing_pairs(members, sets, threshold)), sets, threshold))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            classes = components(links)
+            classes = components(links.unionByName(more))
     labelled = (
-        rows.select("doc_id", "th", node().alias("node"))
+        rows.select("doc_id", "th", "k1", "k2")
+        .join(nodes.select("k1", "k2", "node"), ["k1", "k2"])
         .join(classes, "node", "left")
         .select("doc_id", "th", F.coalesce("class", "node").alias("class"))
     )

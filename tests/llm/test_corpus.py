@@ -304,9 +304,40 @@ def test_classes_against_brute_force(spark):
     assert near_dedup.one_of_each(table.limit(0)).count() == 0
 
 
-def test_members_that_are_far_from_the_representative_are_linked(spark, monkeypatch):
-    """With one row a band nearly all documents share buckets, so crossing pairs matter."""
-    monkeypatch.setattr(near_dedup, "MOST_BITS", 125)
+def shingle_table(rows):
+    """Shingle sets of rows, as plain Python has them."""
+    out = {}
+    for i, text in rows:
+        w = re.findall(r"[a-z0-9]+", text.lower())
+        out[i] = {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    return out
+
+
+def test_rare_shingles_keep_every_similar_pair(spark):
+    """All documents in one bucket, each a class: no pair at 0.8 is lost, and those that share a
+    frequent passage only are not paired."""
+    rng = random.Random(8)
+    rows = near_rows()[:56]
+    passage = [f"p{i}" for i in range(100)]
+    rows += [(100 + i, " ".join(passage + [f"u{rng.random()}"[2:] for _ in range(26)])) for i in range(40)]
+    rows += [(200 + i, " ".join(passage + [f"v{i}"] * 3)) for i in range(5)]
+    plain = shingle_table(rows)
+    codes = {g: k for k, g in enumerate(sorted(set().union(*plain.values())))}
+    sets = spark.createDataFrame([(i, [codes[g] for g in s]) for i, s in plain.items()], "node long, g array<long>")
+    members = sets.select("node", F.size("g").alias("n"), F.col("node").alias("class"), F.array(F.lit(1)).alias("bands"))
+    similar = {
+        (a, b) for a in plain for b in plain
+        if a < b and len(plain[a] & plain[b]) >= 0.8 * len(plain[a] | plain[b]) - 1e-9
+    }
+    pairs = near_dedup.crossing_pairs(members, sets, 0.8)
+    found = {tuple(r) for r in pairs.collect()}
+    assert similar <= found and len(similar) > 60
+    assert not any(100 <= a < 200 and 100 <= b < 200 for a, b in found)
+    assert {tuple(r) for r in near_dedup.verified(pairs, sets).collect()} == similar
+
+
+def test_members_that_are_far_from_the_representative_are_linked(spark):
+    """Chains of edits, whose ends are not alike and share buckets with the links between."""
     rows = near_rows()[:56]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(table).collect()}
