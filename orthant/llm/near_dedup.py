@@ -8,8 +8,9 @@ in a register with their probability Jaccard, at equal weights the Jaccard of th
 
 Registers are grouped in bands. Documents that agree in a band share a bucket; each is compared
 with one representative of the bucket, not with all others, and only verified links (exact
-Jaccard of the shingle sets) count. Where a bucket is then still spread over several classes, a
-pair of its members in different classes is compared if they share one of their rarest shingles:
+Jaccard of the shingle sets) count. Where a bucket is then still spread over several classes, its
+members meet fresh representatives, one for each of their rarest shingles, and at last a pair of
+members still in different classes is compared if they share one of their rarest shingles:
 sets of similarity t have at least t of each in common, so among the n - ceil(t n) + 1 rarest
 shingles of each, by any one order, one is common; and what follows the first common one in
 either set must still be enough. Both bounds are exact and drop no link, and documents that have
@@ -40,6 +41,8 @@ from orthant.llm.words import find_words
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Rounds with fresh representatives before all pairs that are still apart.
+ROUNDS = 2
 #: Words of documents whose registers are filled together.
 TOGETHER = 30_000
 #: Words whose hash a task remembers.
@@ -246,31 +249,44 @@ def rarest_shingles(members: DataFrame, sets: DataFrame, threshold: float) -> Da
     )
 
 
-def crossing_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of nodes of different classes that share a bucket and one of their rarest shingles.
+def relabelled(rare: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rarest shingles with the members' present classes."""
+    now = classes.select("node", F.col("class").alias("now"))
+    return rare.join(now, "node", "left").withColumn("class", F.coalesce("now", "class")).drop("now")
+
+
+def meeting(rare: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes, one of each table, that share a bucket and a rarest
+    shingle.
 
     Similar sets of m and n shingles share t / (1 + t) * (m + n). If ``g`` is the first that two
     sets share, all that they share is at or after it in both; a pair that is similar passes
     with its first one.
     """
-    rare = cut(rarest_shingles(members, sets, threshold))
-    other = rare.select(
-        "g",
-        F.col("node").alias("b"),
-        F.col("n").alias("bn"),
-        F.col("class").alias("bc"),
-        F.col("bands").alias("bb"),
-        F.col("at").alias("b_at"),
-    )
-    needed = threshold / (1 + threshold) * (F.col("n") + F.col("bn")) - 1e-6
-    enough = F.least(F.col("n") - F.col("at"), F.col("bn") - F.col("b_at")) >= needed
-    return (
-        rare.join(other, "g")
-        .where((F.col("node") < F.col("b")) & (F.col("class") != F.col("bc")))
-        .where(enough & F.arrays_overlap("bands", "bb"))
-        .select(F.col("node").alias("a"), "b")
-        .distinct()
-    )
+    other = other.select("g", *[F.col(c).alias("b_" + c) for c in ("node", "n", "class", "bands", "at")])
+    needed = threshold / (1 + threshold) * (F.col("n") + F.col("b_n")) - 1e-6
+    enough = F.least(F.col("n") - F.col("at"), F.col("b_n") - F.col("b_at")) >= needed
+    met = rare.join(other, "g").where((F.col("class") != F.col("b_class")) & enough)
+    return met.where(F.arrays_overlap("bands", "b_bands")).select(
+        F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")
+    ).distinct()
+
+
+def fresh_pairs(rare: DataFrame, salt: int, threshold: float) -> DataFrame:
+    """Each member that has a shingle with one of the members that have it: as many pairs as rows
+    at most. In round 0 it is the one with the least share of rarer shingles, which is likely to
+    be near many; later another one for each shingle and round."""
+    rarer = F.col("at") / F.col("n")
+    place = F.struct(rarer if salt == 0 else F.lit(0.0), F.xxhash64("node", "g", F.lit(salt)))
+    row = F.struct("node", "n", "class", "bands", "at")
+    chosen = rare.groupBy("g").agg(F.min_by(row, place).alias("r")).select("g", "r.*")
+    return meeting(rare, cut(chosen), threshold)
+
+
+def crossing_pairs(rare: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of nodes of different classes that share a bucket and one of their rarest
+    shingles: none of the given similarity is missing."""
+    return meeting(rare, rare, threshold)
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -354,9 +370,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     classes = components(links)
     members = cut(mixed_members(nodes, classes))
     if not members.isEmpty():
-        more = cut(verified(cut(crossing_pairs(members, sets, threshold)), sets, threshold))
-        if not more.isEmpty():
-            classes = components(links.unionByName(more))
+        rare = cut(rarest_shingles(members, sets, threshold))
+        for salt in range(ROUNDS + 1):
+            # what is in one class by now makes no more pairs
+            now = cut(relabelled(rare, classes))
+            pairs = fresh_pairs(now, salt, threshold) if salt < ROUNDS else crossing_pairs(now, threshold)
+            more = cut(verified(cut(pairs), sets, threshold))
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                classes = components(links)
     labelled = (
         rows.select("doc_id", "th", "k1", "k2")
         .join(nodes.select("k1", "k2", "node"), ["k1", "k2"])

@@ -329,11 +329,16 @@ def test_rare_shingles_keep_every_similar_pair(spark):
         (a, b) for a in plain for b in plain
         if a < b and len(plain[a] & plain[b]) >= 0.8 * len(plain[a] | plain[b]) - 1e-9
     }
-    pairs = near_dedup.crossing_pairs(members, sets, 0.8)
+    rare = near_dedup.rarest_shingles(members, sets, 0.8)
+    pairs = near_dedup.crossing_pairs(rare, 0.8)
     found = {tuple(r) for r in pairs.collect()}
     assert similar <= found and len(similar) > 60
     assert not any(100 <= a < 200 and 100 <= b < 200 for a, b in found)
     assert {tuple(r) for r in near_dedup.verified(pairs, sets).collect()} == similar
+    fresh = {tuple(r) for r in near_dedup.fresh_pairs(rare, 1, 0.8).collect()}
+    assert fresh <= found and len(fresh) <= rare.count()
+    one = near_dedup.relabelled(rare, members.select("node", F.lit(0).alias("class")))
+    assert near_dedup.crossing_pairs(one, 0.8).isEmpty()
 
 
 def test_members_that_are_far_from_the_representative_are_linked(spark):
