@@ -1,8 +1,9 @@
 """Matching clusters to classes.
 
 A matching of largest weight can be found in each connected part of the (cluster, class) table
-on its own. Spark finds the parts; a part whose cells are the only ones of their cluster or
-class is settled by an aggregate, and only larger parts, one task each, run the assignment.
+on its own. Spark finds the parts. Small parts, one task each, run a dense assignment. The cells of
+large parts go to an auction (operators/auction.py), which works on sparse blocks of bounded size
+and keeps one price a label on the driver.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orthant.operators.auction import auction, auction_by_blocks, local_block
 from orthant.session import Scratch
 
 # Non-zero (cluster, class) counts up to which the driver finds the parts itself.
 DRIVER_CELLS = 100_000
-# Labels a side of one connected part: the assignment is dense and cubic in them.
-MAX_LABELS = 4_000
+# Labels a side of one connected part up to which the assignment is dense; it is cubic in them.
+DENSE_LABELS = 300
+# Labels of large parts, both sides together, for which the driver keeps a price each.
+MAX_LABELS = 4_000_000
 
 
 def max_weight_assignment(weight: np.ndarray) -> np.ndarray:
@@ -78,18 +82,22 @@ def _ordered(values) -> list:
 
 
 class LargePart(ValueError):
-    """A connected part of the label table is too large to be matched."""
+    """The label table has too many linked labels to be matched."""
 
     def __init__(self):
-        super().__init__(f"a connected part of the label table has over {MAX_LABELS} labels a side")
+        super().__init__(f"large connected parts of the label table have over {MAX_LABELS} labels")
 
 
 def match_part(rows: list[tuple]) -> list[tuple]:
     """``(cluster, mapped)`` of one connected part, given as (cluster, class, n)."""
     clusters = _ordered({r[0] for r in rows})
     classes = _ordered({r[1] for r in rows})
-    if max(len(clusters), len(classes)) > MAX_LABELS:
-        raise LargePart
+    if max(len(clusters), len(classes)) > DENSE_LABELS:
+        at_cluster = {v: i for i, v in enumerate(clusters)}
+        at_class = {v: i for i, v in enumerate(classes)}
+        cells = np.array([(at_cluster[c], at_class[k], n) for c, k, n in rows], dtype=np.int64).T
+        row_of = auction([local_block(*cells, len(clusters), len(classes))], len(clusters), len(classes))
+        return [(c, classes[k] if k >= 0 else None) for c, k in zip(clusters, row_of)]
     row_of = max_weight_assignment(match_matrix(rows, clusters, classes).T)
     return [
         (c, classes[row_of[i]] if row_of[i] < len(classes) else None)
@@ -138,11 +146,52 @@ def find_parts(cells: DataFrame) -> DataFrame:
             return joined.select("part", F.col("c.cluster"), F.col("k.class"), "n")
 
 
+def numbered(labels: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``label`` and ``at``, numbers from 0 without gaps, and how many there are.
+
+    The rows are written once with the places they have in their partition; the driver adds
+    up the partitions' counts.
+    """
+    placed = scratch.cut(labels.select("label", F.monotonically_increasing_id().alias("m")))
+    part = F.shiftright("m", 33)
+    counts = placed.groupBy(part.alias("part")).count().orderBy("part").collect()
+    ends = np.cumsum([r["count"] for r in counts]).tolist()
+    starts = placed.sparkSession.createDataFrame(
+        [(r["part"], e - r["count"]) for r, e in zip(counts, ends)], "part long, before long"
+    )
+    place = F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    out = placed.withColumn("part", part).join(F.broadcast(starts), "part")  # a row a partition
+    return out.select("label", (F.col("before") + place).alias("at")), ends[-1] if ends else 0
+
+
+def match_large(cells: DataFrame) -> DataFrame:
+    """``(cluster, mapped)`` of the cells of large parts, by auction in blocks."""
+    scratch = Scratch(cells.sparkSession, "auction")
+    sides = [F.struct(c).alias("label") for c in ("cluster", "class")]
+    clusters, n_clusters = numbered(cells.select(sides[0]).distinct(), scratch)
+    classes, n_classes = numbered(cells.select(sides[1]).distinct(), scratch)
+    if n_clusters + n_classes > MAX_LABELS:
+        raise LargePart
+    placed = (
+        cells.select(F.struct("cluster").alias("a"), F.struct("class").alias("b"), "n")
+        .join(clusters.select(F.col("label").alias("a"), F.col("at").alias("i")), "a")
+        .join(classes.select(F.col("label").alias("b"), F.col("at").alias("j")), "b")
+        .select("i", "j", "n")
+    )
+    found = auction_by_blocks(placed, n_clusters, n_classes, scratch)
+    return (
+        clusters.join(found, F.col("at") == F.col("i"), "left")
+        .select(F.col("label.cluster").alias("cluster"), "j")
+        .join(classes.select(F.col("label.class").alias("mapped"), F.col("at").alias("j")), "j", "left")
+        .select("cluster", "mapped")
+    )
+
+
 def best_mapping(cells: DataFrame) -> DataFrame:
     """``(cluster, mapped)``: the one-to-one mapping that agrees on most rows.
 
-    Only labels that share rows are matched. A cluster without a partner maps to null. A
-    connected part of over MAX_LABELS labels a side is an error, raised before any matching.
+    Only labels that share rows are matched. A cluster without a partner maps to null. Over
+    MAX_LABELS labels in large connected parts are an error.
     """
     cells = cells.select("cluster", "class", "n")
     schema = T.StructType(
@@ -164,9 +213,11 @@ def best_mapping(cells: DataFrame) -> DataFrame:
 
     parts = find_parts(cells)
     sides = parts.groupBy("part").agg(*[F.count_distinct(F.struct(c)).alias(c) for c in ("cluster", "class")])
-    if not sides.where(F.greatest("cluster", "class") > MAX_LABELS).isEmpty():
-        raise LargePart
-    return parts.groupBy("part").applyInArrow(matched, schema)
+    large = sides.where(F.greatest("cluster", "class") > DENSE_LABELS).select("part")
+    small = parts.join(large, "part", "left_anti").groupBy("part").applyInArrow(matched, schema)
+    if large.isEmpty():
+        return small
+    return small.unionByName(match_large(parts.join(large, "part", "left_semi").drop("part")))
 
 
 def relabel(df: DataFrame, mapping: DataFrame, column: str = "prediction") -> DataFrame:

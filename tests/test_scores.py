@@ -107,7 +107,11 @@ def test_other_scores_stand_without_a_matching(spark, monkeypatch, cells_on_driv
     rows = spark.range(400).selectExpr("id % 10 as truth", "id % 7 as prediction")
     whole = {r["metric"]: r["value"] for r in cluster_scores(rows).collect()}
     monkeypatch.setattr(M, "DRIVER_CELLS", cells_on_driver)
+    monkeypatch.setattr(M, "DENSE_LABELS", 5)
     monkeypatch.setattr(M, "MAX_LABELS", 6)
+    if cells_on_driver > 3:  # matched where the cells are, whatever the number of labels
+        assert {r["metric"]: r["value"] for r in cluster_scores(rows).collect()} == whole
+        return
     with pytest.warns(UserWarning, match="over 6 labels"):
         got = {r["metric"]: r["value"] for r in cluster_scores(rows).collect()}
     assert got.pop("accuracy") is None and whole.pop("accuracy") > 0
@@ -125,3 +129,73 @@ def test_parts_found_by_spark(spark, monkeypatch):
     monkeypatch.setattr(M, "DRIVER_CELLS", 3)
     assert {tuple(r) for r in best_mapping(contingency(df)).collect()} == here
     assert (None, 99) in here and (50, None) in here
+
+
+def agreed(cells, mapping):
+    """Rows on which a one-to-one mapping agrees, from (cluster, class) counts."""
+    used = [v for v in mapping.values() if v is not None]
+    assert len(used) == len(set(used)) and set(mapping) == {c for c, _ in cells}
+    return sum(cells.get(pair, 0) for pair in mapping.items())
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+@pytest.mark.parametrize("seed", range(3))
+def test_auction_agrees_with_dense_assignment(seed, blocks):
+    from orthant.operators.auction import auction, bidders_block
+
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        a, b = rng.integers(1, 9, 2)
+        weight = rng.integers(0, 5, (a, b)) * (rng.random((a, b)) < 0.6)
+        weight[np.arange(a), rng.integers(0, b, a)] += 1  # every label has a cell
+        weight[rng.integers(0, a, b), np.arange(b)] += 1
+        i, j = np.nonzero(weight)
+        bidder, obj = np.concatenate([i, a + j]), np.concatenate([j, b + i])
+        n = np.concatenate([weight[i, j]] * 2).astype(np.int64)
+        parts = [bidder % blocks == k for k in range(blocks)]
+        found = auction([bidders_block(bidder[p], obj[p], n[p], a, b) for p in parts if p.any()], a, b)
+        taken = found[found >= 0]
+        square = np.zeros((max(a, b),) * 2)
+        square[:a, :b] = weight
+        best = square[np.arange(len(square)), max_weight_assignment(square)].sum()
+        assert len(set(taken)) == len(taken)
+        assert weight[np.flatnonzero(found >= 0), taken].sum() == best
+
+
+def test_auction_in_spark_blocks(spark, monkeypatch):
+    from orthant.operators import auction as A
+    from orthant.operators import matching as M
+
+    rng = np.random.default_rng(7)
+    rows = [(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 1500), rng.integers(0, 50, 1500))]
+    rows += [(None, 7)] * 40 + [(3, None)] * 2
+    df = spark.createDataFrame(rows, "prediction long, truth long")
+    counts = Counter(rows)
+    best = agreed(counts, {r[0]: r[1] for r in best_mapping(contingency(df)).collect()})
+    monkeypatch.setattr(M, "DRIVER_CELLS", 3)
+    monkeypatch.setattr(M, "DENSE_LABELS", 10)
+    monkeypatch.setattr(A, "BLOCK_CELLS", 700)
+    got = {r[0]: r[1] for r in best_mapping(contingency(df)).collect()}
+    assert agreed(counts, got) == best and got[None] == 7
+
+
+def test_twenty_thousand_linked_labels(spark):
+    n = 20_000
+    # a ring: each class has two rows in its own cluster and one in the next
+    rows = spark.range(3 * n).selectExpr(
+        f"id % {n} as truth", f"(id + if(id < {n}, 1, 0)) % {n} as prediction"
+    )
+    got = {r["metric"]: r["value"] for r in cluster_scores(rows).collect()}
+    assert len(got) == 7 and got["accuracy"] == pytest.approx(2 / 3)
+
+
+@pytest.mark.parametrize("dense", [300, 1])
+def test_no_cells_and_single_cells(spark, monkeypatch, dense):
+    from orthant.operators import matching as M
+
+    monkeypatch.setattr(M, "DENSE_LABELS", dense)
+    monkeypatch.setattr(M, "DRIVER_CELLS", 0)
+    empty = spark.createDataFrame([], "prediction long, truth long")
+    assert best_mapping(contingency(empty)).count() == 0
+    one = spark.createDataFrame([(1, 2), (1, 3), (1, 3)], "prediction long, truth long")
+    assert [tuple(r) for r in best_mapping(contingency(one)).collect()] == [(1, 3)]
