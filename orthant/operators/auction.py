@@ -13,7 +13,8 @@ Bidders are cut into blocks. In a round each block runs its own auction to the e
 prices of the round's start, and the highest offer for an object wins among the blocks. No price
 in a block is above the merged one, so what a winner leaves is no better after the merge than it
 was before, and the bound on each bidder's loss holds. The driver keeps one price and one owner
-a label; a task has one block and these.
+a label; a task has one block and these. How many rounds there are depends on how many blocks want
+the same objects, so blocks are as large as a task can well hold: few tables have several.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from orthant.session import Scratch
 
-# Cells of a block of bidders.
-BLOCK_CELLS = 500_000
+# Cells of a block of bidders, some 40 bytes each while it bids.
+BLOCK_CELLS = 8_000_000
 # By how much a step is smaller than that of the phase before.
 SHRINK = 6
 
@@ -134,8 +135,8 @@ def auction(blocks: list[Block], n_clusters: int, n_classes: int) -> np.ndarray:
 def auction_by_blocks(cells: DataFrame, n_clusters: int, n_classes: int, scratch: Scratch) -> DataFrame:
     """``i`` and ``j`` of the matched cells; ``cells`` has i, j (numbers from 0) and n.
 
-    Blocks are packed and written once; a round is one narrow pass over them. A bidder with
-    more cells than a block holds is still one row, bounded by the number of labels.
+    Blocks are packed and written once; a round is one narrow pass over them. A bidder has at
+    most as many cells as there are labels.
     """
     spark = cells.sparkSession
     both = cells.select(F.col("i").alias("bidder"), F.col("j").alias("obj"), "n").unionByName(

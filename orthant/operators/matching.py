@@ -21,6 +21,8 @@ from orthant.session import Scratch
 DRIVER_CELLS = 100_000
 # Labels a side of one connected part up to which the assignment is dense; it is cubic in them.
 DENSE_LABELS = 300
+# Cells of small parts that a task takes at once.
+TASK_CELLS = 50_000
 # Labels of large parts, both sides together, for which the driver keeps a price each.
 MAX_LABELS = 4_000_000
 
@@ -206,18 +208,24 @@ def best_mapping(cells: DataFrame) -> DataFrame:
         return cells.sparkSession.createDataFrame(out, schema)
 
     def matched(table: pa.Table) -> pa.Table:
-        found = match_part(list(zip(*(table.column(c).to_pylist() for c in ("cluster", "class", "n")))))
+        cells_here = list(zip(*(table.column(c).to_pylist() for c in ("cluster", "class", "n"))))
+        found = [pair for part in split_parts(cells_here) for pair in match_part(part)]
         fields = [("cluster", table.schema.field("cluster").type), ("mapped", table.schema.field("class").type)]
         columns = zip(*found)
         return pa.table([pa.array(v, t) for v, (_, t) in zip(columns, fields)], names=["cluster", "mapped"])
 
-    parts = find_parts(cells)
+    parts = find_parts(cells).persist()
     sides = parts.groupBy("part").agg(*[F.count_distinct(F.struct(c)).alias(c) for c in ("cluster", "class")])
     large = sides.where(F.greatest("cluster", "class") > DENSE_LABELS).select("part")
-    small = parts.join(large, "part", "left_anti").groupBy("part").applyInArrow(matched, schema)
-    if large.isEmpty():
-        return small
-    return small.unionByName(match_large(parts.join(large, "part", "left_semi").drop("part")))
+    # a group is many small parts, of at most DENSE_LABELS squared cells each
+    groups = -(-cells.count() // TASK_CELLS)
+    group = F.pmod(F.xxhash64("part"), F.lit(groups)).alias("group")
+    out = parts.join(large, "part", "left_anti").groupBy(group).applyInArrow(matched, schema)
+    if not large.isEmpty():
+        out = out.unionByName(match_large(parts.join(large, "part", "left_semi").drop("part")))
+    out = Scratch(cells.sparkSession, "mapping").cut(out)
+    parts.unpersist()
+    return out
 
 
 def relabel(df: DataFrame, mapping: DataFrame, column: str = "prediction") -> DataFrame:

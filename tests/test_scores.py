@@ -167,14 +167,14 @@ def test_auction_in_spark_blocks(spark, monkeypatch):
     from orthant.operators import matching as M
 
     rng = np.random.default_rng(7)
-    rows = [(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 1500), rng.integers(0, 50, 1500))]
+    rows = [(int(a), int(b)) for a, b in zip(rng.integers(0, 14, 200), rng.integers(0, 13, 200))]
     rows += [(None, 7)] * 40 + [(3, None)] * 2
     df = spark.createDataFrame(rows, "prediction long, truth long")
     counts = Counter(rows)
     best = agreed(counts, {r[0]: r[1] for r in best_mapping(contingency(df)).collect()})
     monkeypatch.setattr(M, "DRIVER_CELLS", 3)
     monkeypatch.setattr(M, "DENSE_LABELS", 10)
-    monkeypatch.setattr(A, "BLOCK_CELLS", 700)
+    monkeypatch.setattr(A, "BLOCK_CELLS", 100)
     got = {r[0]: r[1] for r in best_mapping(contingency(df)).collect()}
     assert agreed(counts, got) == best and got[None] == 7
 
