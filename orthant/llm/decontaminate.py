@@ -5,7 +5,8 @@ counted over all documents, and every window is filed under its rarest term. The
 postings (document, position) of these terms, with the windows that pass when the lists of
 their other terms are intersected at the offset: each posting looks at the words around it, so
 lists of frequent words are never shuffled. For a phrase all words must stand in order; for a
-proximity match they must all stand within reach of the rarest term, in any order.
+proximity match a stretch of a few words more than the window's own must hold them all, as often
+as the window has them, in any order.
 
 The windows are broadcast in blocks of at most BLOCK of them; a larger benchmark takes several
 passes over the documents, and never a larger broadcast.
@@ -91,29 +92,47 @@ def index_matches(docs: DataFrame, files: DataFrame, window: int, slop: int | No
     """Postings of the filed terms with at least one match: doc_id, th, and ``found``, an array
     of (start, end, items).
 
-    Without ``slop`` a match is the exact phrase. With it, all words of the window stand at most
-    len + slop - 1 words from the rarest term; start and end are those of that stretch.
+    Without ``slop`` a match is the exact phrase. With it, a match is the first stretch of len +
+    slop words (fewer where the document ends) that holds the posting and all words of the window,
+    each as often as the window has it.
     """
     around = stretches(docs, window - 1 + (slop or 0))
     posted = around.select("doc_id", "th", "base", "lead", "w", F.posexplode("w").alias("q", "term"))
     own = (F.col("q") >= F.col("lead")) & (F.col("q") < F.col("lead") + STRETCH)
     posted = posted.where(own).join(F.broadcast(files), "term")  # at most BLOCK windows
+    where_in = F.col("q")
+
+    def length(f: Column) -> Column:
+        return F.size(f["phrase"]) + (slop or 0)
+
+    def holds_all(f: Column, start: Column) -> Column:
+        part = F.slice("w", start + 1, length(f))
+
+        def times(words_: Column, t: Column) -> Column:
+            return F.size(F.filter(words_, lambda x: x == t))
+
+        return F.forall(f["phrase"], lambda t: times(part, t) >= times(f["phrase"], t))
 
     def start(f: Column) -> Column:
         if slop is None:
-            return F.col("q") - f["o"]
-        return F.greatest(F.col("q") - (F.size(f["phrase"]) - 1 + slop), F.lit(0))
+            return where_in - f["o"]
+        first = F.greatest(where_in - length(f) + 1, F.lit(0))
+        fit = F.filter(F.sequence(first, where_in), lambda s: holds_all(f, s))
+        return F.coalesce(F.get(fit, F.lit(0)), F.lit(-1))
 
     def end(f: Column) -> Column:
         if slop is None:
-            return F.col("q") - f["o"] + F.size(f["phrase"])
-        return F.least(F.col("q") + F.size(f["phrase"]) + slop, F.size("w"))
+            return where_in - f["o"] + F.size(f["phrase"])
+        return F.least(start(f) + length(f), F.size("w"))
 
     def there(f: Column) -> Column:
-        stretch = F.slice("w", F.greatest(start(f), F.lit(0)) + 1, end(f) - start(f))
         if slop is None:
+            stretch = F.slice("w", F.greatest(start(f), F.lit(0)) + 1, end(f) - start(f))
             return (start(f) >= 0) & (stretch == f["phrase"])
-        return F.size(F.array_except(f["phrase"], stretch)) == 0
+        # most postings lack a word altogether
+        reach = F.greatest(where_in - length(f) + 1, F.lit(0))
+        near = F.slice("w", reach + 1, 2 * length(f))
+        return (F.size(F.array_except(f["phrase"], near)) == 0) & (start(f) >= 0)
 
     shift = F.col("base") - F.col("lead")
     found = F.transform(
@@ -183,8 +202,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 5) -> DataFrame:
-    """doc_id, start, end and item_id (string) of stretches that hold all words of a window
-    within reach of its rarest term, in any order."""
+    """doc_id, start, end and item_id (string): for each place of a window's rarest term the first
+    stretch of ``slop`` words more than the window that holds it and all the window's words, each as
+    often as the window has it, in any order.
+
+    Null and empty texts match nothing, nor does anything where a table is empty. Null item ids
+    are one item named null. Equal results are one row, so repeated rows count once; other columns
+    are ignored.
+    """
     found = _in_blocks(docs, items, window, slop).select("doc_id", F.explode("found").alias("f"))
     return found.select("doc_id", "f.start", "f.end", F.explode("f.items").alias("item_id")).distinct()
 

@@ -44,6 +44,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(docs, items)
 
 
+def op2_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with stretches near a window of the benchmark: doc_id, n_places, n_items."""
+    found = decontamination.proximity_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id").agg(
+        F.count_distinct("start", "end").alias("n_places"), F.count_distinct("item_id").alias("n_items")
+    )
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -165,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts,
         op2_decontamination,
+        op2_proximity,
         op3_fingerprints,
         op4_personal_data,
         op5_byte_bpe,

@@ -3,8 +3,13 @@
 Segments that vary (numbers, identifiers, rare words without labels) become wildcards. Going down from each
 host, sibling branches whose share of labelled rejections does not differ significantly from
 their pooled share are merged into one branch; those clearly above and clearly below it are
-merged among themselves. A leaf template is rejected by its smoothed share of rejections among
-labelled pages. The labelled pages are those that a rule decides, or a given column.
+merged among themselves. The tree goes on until every branch holds one shape. The labelled pages
+are those that a rule decides, or a given column.
+
+Purity is smoothed down the tree: a branch's share of rejections among its labelled pages is drawn
+towards that of its parent, and a branch without labels takes its parent's. A host starts at its
+share of rejections among all its pages: pages without a label are not known to be bad, so a few
+rejected pages do not condemn the rest of a host.
 
 All counts are aggregated by Spark on (host, shape), before any join, so that a host with very
 many pages is only as many rows as it has shapes.
@@ -27,13 +32,11 @@ RULES = (
 )
 #: Rules are part of the expression; beyond so many they belong in a joined table.
 MOST_RULES = 10_000
-#: Segments below this depth are one wildcard.
-DEPTH = 4
 #: A word segment without a labelled page stays a branch of its own from so many pages on.
 LEAST_PAGES = 3
 #: Standard errors that make two shares differ.
 APART = 2.0
-#: Weight of the prior, and share of rejections from which a template is rejected.
+#: Weight of the parent's share, and share of rejections from which a template is rejected.
 PRIOR_WEIGHT, REJECT = 2.0, 0.5
 
 
@@ -68,7 +71,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """Path segments with numbers and identifiers generalised, DEPTH at most and then ``**``."""
+    """All path segments, with numbers and identifiers generalised."""
 
     def general(s: Column) -> Column:
         return (
@@ -79,9 +82,47 @@ def segments(path: Column) -> Column:
             .otherwise(s)
         )
 
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.transform(F.slice(parts, 1, DEPTH), general)
-    return F.when(F.size(parts) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
+
+
+def named_branches(at: DataFrame) -> DataFrame:
+    """host, prefix, seg and ``branch``, the name under which the segment goes on."""
+    branches = at.groupBy("host", "prefix", "seg").agg(
+        F.sum("n").alias("cn"), F.sum("m").alias("cm"), F.sum("b").alias("cb")
+    )
+    parents = branches.groupBy("host", "prefix").agg(F.sum("cm").alias("pm"), F.sum("cb").alias("pb"))
+    share = F.col("pb") / F.greatest("pm", F.lit(1))
+    own = F.col("cb") / F.greatest("cm", F.lit(1))
+    spread = APART * F.sqrt((share * (1 - share) + 1e-9) / F.greatest("cm", F.lit(1)))
+    wild = F.col("seg").startswith("<")
+    # labelled segments are merged by the test only, however few pages they have
+    rare = ~wild & (F.col("cm") == 0) & (F.col("cn") < LEAST_PAGES)
+    branch = (
+        F.when(rare, "*")
+        .when(wild | (F.col("cm") == 0), F.col("seg"))
+        .when(own > share + spread, "{+}")
+        .when(own < share - spread, "{-}")
+        .otherwise("{=}")
+    )
+    return branches.join(parents, ["host", "prefix"]).select("host", "prefix", "seg", branch.alias("branch"))
+
+
+def with_purity(shapes: DataFrame, known: str) -> DataFrame:
+    """Shapes with their node's ``labelled`` pages, ``purity`` and number of shapes (``alike``).
+
+    ``known`` is the count that the share of rejections is taken of; the purity so far is the
+    parent's, and the same in all shapes of a node.
+    """
+    node = shapes.groupBy("host", "prefix").agg(
+        F.sum("m").alias("labelled"),
+        F.sum("b").alias("nb"),
+        F.sum(known).alias("nk"),
+        F.min("purity").alias("up"),
+        F.count("*").alias("alike"),
+    )
+    smoothed = (F.col("nb") + PRIOR_WEIGHT * F.col("up")) / (F.col("nk") + PRIOR_WEIGHT)
+    node = node.select("host", "prefix", "labelled", smoothed.alias("purity"), "alike")
+    return shapes.drop("labelled", "purity", "alike").join(node, ["host", "prefix"])
 
 
 def template_tree(pages: DataFrame) -> DataFrame:
@@ -95,55 +136,22 @@ def template_tree(pages: DataFrame) -> DataFrame:
         .withColumn("b", F.coalesce("b", F.lit(0)))
         .withColumn("prefix", F.lit(""))
     )
-    for level in range(1, DEPTH + 2):
-        seg = F.get("segs", F.lit(level - 1))
-        at = shapes.where(seg.isNotNull()).withColumn("seg", seg)
-        branches = at.groupBy("host", "prefix", "seg").agg(
-            F.sum("n").alias("cn"), F.sum("m").alias("cm"), F.sum("b").alias("cb")
-        )
-        parents = branches.groupBy("host", "prefix").agg(
-            F.sum("cm").alias("pm"), F.sum("cb").alias("pb")
-        )
-        share = F.col("pb") / F.greatest("pm", F.lit(1))
-        own = F.col("cb") / F.greatest("cm", F.lit(1))
-        spread = APART * F.sqrt((share * (1 - share) + 1e-9) / F.greatest("cm", F.lit(1)))
-        wild = F.col("seg").startswith("<") | (F.col("seg") == "**")
-        # labelled segments are merged by the test only, however few pages they have
-        rare = ~wild & (F.col("cm") == 0) & (F.col("cn") < LEAST_PAGES)
-        branch = (
-            F.when(rare, "*")
-            .when(wild | (F.col("cm") == 0), F.col("seg"))
-            .when(own > share + spread, "{+}")
-            .when(own < share - spread, "{-}")
-            .otherwise("{=}")
-        )
-        named = branches.join(parents, ["host", "prefix"]).select(
-            "host", "prefix", "seg", branch.alias("branch")
-        )
-        shapes = cut(
-            shapes.withColumn("seg", seg)
-            .join(named, ["host", "prefix", "seg"], "left")
-            .withColumn(
-                "prefix",
-                F.when(F.col("branch").isNull(), F.col("prefix")).otherwise(
-                    F.concat("prefix", F.lit("/"), "branch")
-                ),
-            )
-            .drop("seg", "branch")
-        )
-    leaves = shapes.groupBy("host", "prefix").agg(F.sum("m").alias("lm"), F.sum("b").alias("lb"))
-    whole = shapes.agg(
-        (F.coalesce(F.sum("b"), F.lit(0)) / F.greatest(F.sum("m"), F.lit(1))).alias("p")
-    ).first()
-    prior = float(whole["p"] or 0.0)
-    purity = (F.col("lb") + PRIOR_WEIGHT * prior) / (F.col("lm") + PRIOR_WEIGHT)
-    return shapes.join(leaves, ["host", "prefix"]).select(
-        "host",
-        "segs",
-        F.col("prefix").alias("template"),
-        F.col("lm").alias("labelled"),
-        purity.alias("purity"),
-    )
+    total = shapes.agg((F.sum("b") / F.sum("n")).alias("p")).first()
+    shapes = cut(with_purity(shapes.withColumn("purity", F.lit(float(total["p"] or 0.0))), "n"))
+    done, level = None, 0
+    while True:
+        # a node of one shape has nothing left to split
+        ended = (F.size("segs") <= level) | (F.col("alike") == 1)
+        rest = F.array_join(F.concat(F.array("prefix"), F.slice("segs", level + 1, F.greatest(F.size("segs"), F.lit(1)))), "/")
+        out = shapes.where(ended).select("host", "segs", rest.alias("template"), "labelled", "purity")
+        done = out if done is None else done.unionByName(out)
+        at = shapes.where(~ended).withColumn("seg", F.get("segs", F.lit(level)))
+        if at.isEmpty():
+            return done
+        moved = at.join(named_branches(at), ["host", "prefix", "seg"])
+        moved = cut(moved.withColumn("prefix", F.concat("prefix", F.lit("/"), "branch")).drop("seg", "branch"))
+        shapes = cut(with_purity(moved, "m"))
+        level += 1
 
 
 def judge_urls(
@@ -156,11 +164,15 @@ def judge_urls(
     """``host``, ``path``, ``rule``, ``verdict``, ``template`` and ``purity`` of every URL.
 
     ``label`` names a column with 1 for pages to reject and 0 for good ones; without it, pages
-    that a rule decides are the labelled ones. Where no rule fits, a template with at least one
-    labelled page is blocked from REJECT on; all else is allowed. Null URLs and those without
-    ``://`` have an empty host and path and are judged like any other. Repeated rows stay.
+    that a rule decides are the labelled ones. Where no rule fits, a template is blocked from a
+    purity of REJECT on and else allowed. Null URLs and those without ``://`` have an empty host
+    and path and are judged like any other; an empty table has no rows. Repeated rows stay. Other
+    columns are ignored, and one in ``keep`` that has the name of a result is an error.
     """
     keep = ["page_id"] if keep is None else keep
+    clash = {c.lower() for c in keep} & {"host", "path", "rule", "verdict", "template", "purity"}
+    if clash:
+        raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
     chosen = [F.col(f"`{c}`") for c in keep]
     known = [F.col(f"`{label}`").cast("int").alias("__label")] if label else []
     parsed = parse_url(pages.select(*chosen, F.col(f"`{url}`").alias("__url"), *known), "__url")
@@ -169,9 +181,7 @@ def judge_urls(
     bad = F.col("__label") if label else (F.col("__decided") == "block").cast("int")
     parsed = parsed.withColumn("bad", bad).withColumn("segs", segments(F.col("path")))
     tree = template_tree(parsed.select("host", "segs", "bad"))
-    by_template = F.when(
-        (F.col("labelled") > 0) & (F.col("purity") >= REJECT), F.lit("block")
-    ).otherwise("allow")
+    by_template = F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise("allow")
     return parsed.join(tree, ["host", "segs"]).select(
         *chosen,
         "host",

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -100,6 +101,41 @@ def test_proximity(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, "7")}
 
 
+def brute_proximity(docs, bench, window, slop):
+    texts = {d: (t or "").split() for d, t in docs}
+    counts = Counter(x for _, t in docs for x in (t or "").split())
+    out = set()
+    for item, text in bench:
+        words = (text or "").split()
+        for i in range(max(1, len(words) - window + 1) if words else 0):
+            phrase = words[i : i + window]
+            if not all(counts[x] for x in phrase):
+                continue
+            rarest = min((counts[x], o, x) for o, x in enumerate(phrase))[2]
+            size, need = len(phrase) + slop, Counter(phrase)
+            for doc, w in texts.items():
+                for q in (q for q, x in enumerate(w) if x == rarest):
+                    fit = [s for s in range(max(0, q - size + 1), q + 1) if need <= Counter(w[s : s + size])]
+                    if fit:
+                        out.add((doc, fit[0], min(fit[0] + size, len(w)), str(item)))
+    return out
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 3, 40, 150])))) for i in range(25)]
+    docs += [(90, None), (91, "b q q q a q"), (92, "a b a"), (92, "a b a")]
+    bench = [(1, "a a b"), (2, "c d e f g"), (3, None), (4, "h a h"), (5, "zz a b")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = decon.proximity_matches(d, b, window=4, slop=2).collect()
+    want = brute_proximity(docs, bench, 4, 2)
+    counts = Counter(r["doc_id"] for r in got)
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert counts[91] == 0 and counts[92] > 0
+    assert decon.proximity_matches(d.limit(0), b).count() == decon.proximity_matches(d, b.limit(0)).count() == 0
+
+
 # ------------------------------------------------------------------ lines
 
 
@@ -434,6 +470,32 @@ def test_rare_labelled_segments_keep_their_branch(spark):
     assert all((r["verdict"] == "block") == r["path"].startswith("/bad/") for r in got)
 
 
+def test_tree_decides_pages_without_a_rule(spark):
+    rows = [f"http://bad.net/{'es' if i % 2 else 'fr'}/{i}" for i in range(60)]
+    rows += [f"http://bad.net/de/{i}" for i in range(5)]
+    rows += [f"http://good.net/es/{i}" for i in range(10)] + [f"http://good.net/de/{i}" for i in range(50)]
+    rows += ["http://alone.org/es/1", None]
+    table = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {rows[r["page_id"]]: r for r in url_filter.judge_urls(table).collect()}
+    open_ = {u: r["verdict"] for u, r in got.items() if r["rule"] is None}
+    assert len(open_) == 57
+    assert all((v == "block") == (u or "").startswith("http://bad.net/") for u, v in open_.items())
+    # purity by hand: towards all pages, then the host's, then the branch without labels
+    host = (60 + 2 * 70 / 127) / 67
+    assert got["http://bad.net/de/3"]["purity"] == pytest.approx(host)
+    assert got["http://bad.net/es/1"]["purity"] == pytest.approx((60 + 2 * (60 + 2 * host) / 62) / 62)
+
+
+def test_labels_deep_in_a_path(spark):
+    rows = [(f"http://h.org/a/b/c/d/{'bad' if i % 2 else 'ok'}/{i}/x", i % 2) for i in range(60)]
+    rows += [(u, None) for u in ("http://h.org/a/b/c/d/bad/900/x", "http://h.org/a/b/c/d/ok/900/x")]
+    table = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id long, url string, bad int")
+    got = url_filter.judge_urls(table, rules=(), label="bad").collect()
+    assert all((r["verdict"] == "block") == ("/bad/" in r["path"]) for r in got)
+    with pytest.raises(ValueError, match="names of the result"):
+        url_filter.judge_urls(table.withColumnRenamed("bad", "Host"), keep=["Host"])
+
+
 # ------------------------------------------------------------------ pipeline
 
 
