@@ -1,8 +1,12 @@
 """Work that has to spread over tasks, or stay within a bound, as tables grow."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from orthant.operators import knn as K
 
 
 def test_links_of_a_small_file_are_tried_in_many_tasks(spark, tmp_path):
@@ -18,3 +22,40 @@ def test_links_of_a_small_file_are_tried_in_many_tasks(spark, tmp_path):
         want += [(i, j, 1.0) for j in ends if j != i and group[i] == group[j]]
     assert sorted((r["src"], r["dst"], r["w"]) for r in edges) == sorted(want)
     assert len({r["task"] for r in edges}) >= 8
+
+
+def one_block(x):
+    """A block as it is packed, and its rows as queries without bounds."""
+    y = K.sketches(x, *K.leading_directions(x[:512]))
+    order = K.tile_order(y) if hasattr(K, "tile_order") else np.arange(len(x))
+    ids, x, y, size = order, x[order], y[order], np.ones(len(x))
+    return (ids, x, size, np.full(len(x), np.inf), y), (ids, x, size, y)
+
+
+def test_rows_of_a_block_meet_only_near_ones(monkeypatch):
+    t = np.random.default_rng(5).random(6000)
+    x = np.c_[np.cos(6 * t), np.sin(6 * t), t]
+    met, weigh = [0], K.pair_weight
+
+    def counted(a, b):
+        out = weigh(a, b)
+        met[0] += np.size(out)
+        return out
+
+    monkeypatch.setattr(K, "pair_weight", counted)
+    src, dst, _ = K.block_neighbors(*one_block(x), 3)
+    d2 = K.exact_square_distance(np.repeat(x[::97], len(x), axis=0), np.tile(x, (len(x[::97]), 1))).reshape(-1, len(x))
+    for i, row in zip(range(0, len(x), 97), d2):
+        want = [j for j in np.lexsort((np.arange(len(x)), row)) if j != i][:3]
+        assert sorted(dst[src == i]) == sorted(want)
+    assert met[0] < 0.3 * len(x) ** 2
+
+
+def test_memory_of_a_search_is_bounded():
+    x = np.random.default_rng(6).normal(size=(20_000, 24))
+    query, block = one_block(x)
+    tracemalloc.start()
+    K.block_neighbors(tuple(v[:1024] for v in query), block, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
