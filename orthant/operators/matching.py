@@ -1,7 +1,11 @@
 """Matching clusters to classes.
 
-A matching of largest weight can be found in each connected part of the (cluster, class) table
-on its own. Spark finds the parts. Small parts, one task each, run a dense assignment. The cells of
+Labels with a single cell are taken out first, in rounds of Spark aggregates: such a cell is worth
+its count to the label at its other end, whose other cells lose that much, and are dropped if they
+are worth no more. The heaviest such cell is taken in the end unless its other end finds better.
+
+A matching of largest weight can be found in each connected part of what is left on its own. Spark
+finds the parts. Small parts, one task each, run a dense assignment. The cells of
 large parts go to an auction (operators/auction.py), which works on sparse blocks of bounded size
 and keeps one price a label on the driver.
 """
@@ -23,6 +27,8 @@ DRIVER_CELLS = 100_000
 DENSE_LABELS = 300
 # Cells of small parts that a task takes at once.
 TASK_CELLS = 50_000
+# Cells of a label beyond which its other cells are changed by broadcast.
+STEM_CELLS = 500_000
 # Labels of large parts, both sides together, for which the driver keeps a price each.
 MAX_LABELS = 4_000_000
 
@@ -189,11 +195,40 @@ def match_large(cells: DataFrame) -> DataFrame:
     )
 
 
+def strip_leaves(cells: DataFrame, leaf: str, stem: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The cells without labels of side ``leaf`` that have one cell, and the heaviest of these a label.
+
+    ``cells`` has ``cluster`` and ``class``, as structs, and n. A label of very many cells gets
+    what it loses by broadcast; only so many labels can have that many cells.
+    """
+    single = (
+        cells.groupBy(leaf)
+        .agg(F.count(F.lit(1)).alias("d"), F.min(stem).alias(stem), F.min("n").alias("n"))
+        .where(F.col("d") == 1)
+        .select("cluster", "class", "n")
+    )
+    single = scratch.cut(single)
+    best = single.groupBy(stem).agg(F.max_by(F.struct(leaf, "n"), F.struct("n", leaf)).alias("v"))
+    best = scratch.cut(best.select(stem, f"v.{leaf}", "v.n"))
+    # both ends together are unique, so no label's cells meet in one task
+    rest = cells.join(single.select("cluster", "class"), ["cluster", "class"], "left_anti")
+    lost = best.select(stem, F.col("n").alias("lost"))
+    many = cells.groupBy(stem).count().where(F.col("count") > STEM_CELLS).select(stem)
+    heavy = F.broadcast(lost.join(F.broadcast(many), stem, "left_semi").withColumnRenamed("lost", "most"))
+    rest = rest.join(heavy, stem, "left")
+    left = F.col("n") - F.col("lost")
+    others = rest.where(F.col("most").isNull()).join(lost, stem, "left")
+    rest = rest.where(F.col("most").isNotNull()).select("cluster", "class", (F.col("n") - F.col("most")).alias("n"))
+    rest = rest.unionByName(others.select("cluster", "class", F.coalesce(left, F.col("n")).alias("n")))
+    return scratch.cut(rest.where(F.col("n") > 0)), best
+
+
 def best_mapping(cells: DataFrame) -> DataFrame:
     """``(cluster, mapped)``: the one-to-one mapping that agrees on most rows.
 
     Only labels that share rows are matched. A cluster without a partner maps to null. Over
-    MAX_LABELS labels in large connected parts are an error.
+    MAX_LABELS labels in large connected parts are an error, not counting those that are taken
+    out because they have a single cell, at first or once others are out.
     """
     cells = cells.select("cluster", "class", "n")
     schema = T.StructType(
@@ -202,6 +237,37 @@ def best_mapping(cells: DataFrame) -> DataFrame:
             T.StructField("mapped", cells.schema["class"].dataType),
         ]
     )
+    if len(cells.select("n").limit(DRIVER_CELLS + 1).collect()) <= DRIVER_CELLS:
+        return match_cells(cells, schema)
+    scratch = Scratch(cells.sparkSession, "leaves")
+    first = scratch.cut(cells.select(F.struct("cluster").alias("cluster"), F.struct("class").alias("class"), "n"))
+    rest, count, taken = first, first.count(), []
+    sides = [("cluster", "class"), ("class", "cluster")]
+    idle = 0
+    while count and idle < 2:
+        leaf, stem = sides[len(taken) % 2]
+        rest, best = strip_leaves(rest, leaf, stem, scratch)
+        taken.append((stem, best))
+        before, count = count, rest.count()
+        # a long chain loses little a round: what is small enough goes to the assignment
+        much = before - count > (before // 10 if before <= MAX_LABELS else 0)
+        idle = 0 if much else idle + 1
+    found = match_cells(rest.select("cluster.cluster", "class.class", "n"), schema)
+    found = found.select(F.struct("cluster").alias("cluster"), F.struct(F.col("mapped").alias("class")).alias("class"))
+    # a dense assignment also pairs labels that share nothing, which hold no one else back
+    found = scratch.cut(found.join(rest.select("cluster", "class"), ["cluster", "class"], "left_semi"))
+    for stem, best in reversed(taken):
+        # who found nothing better takes the label that was taken out
+        found = scratch.cut(found.unionByName(best.join(found.select(stem), stem, "left_anti").select("cluster", "class")))
+    out = first.select("cluster").distinct().join(found, "cluster", "left")
+    out = out.select("cluster.cluster", F.col("class.class").alias("mapped"))
+    out = Scratch(cells.sparkSession, "mapping").cut(out)
+    scratch.release(keep=0)
+    return out
+
+
+def match_cells(cells: DataFrame, schema: T.StructType) -> DataFrame:
+    """``(cluster, mapped)`` of the cells by their connected parts."""
     rows = [tuple(r) for r in cells.limit(DRIVER_CELLS + 1).collect()]
     if len(rows) <= DRIVER_CELLS:
         out = [pair for part in split_parts(rows) for pair in match_part(part)]

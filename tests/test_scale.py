@@ -3,10 +3,12 @@
 import tracemalloc
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from orthant.operators import knn as K
+from orthant.operators import matching as M
 
 
 def test_links_of_a_small_file_are_tried_in_many_tasks(spark, tmp_path):
@@ -59,3 +61,30 @@ def test_memory_of_a_search_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120e6
+
+
+def linked(rng):
+    """A hub with many classes, trees, cycles and null labels."""
+    cells = {(-1, i): int(rng.integers(1, 5)) for i in range(40)}
+    cells |= {(i, i): int(rng.integers(1, 5)) for i in range(40) if i % 3}
+    cells |= {(100 + i, 100 + (i + s) % 9): int(rng.integers(1, 9)) for i in range(9) for s in (0, 1)}
+    cells |= {(100 + i, 120 + i): int(rng.integers(1, 9)) for i in range(9)}
+    cells |= {(200 + i // 3, 200 + i): int(rng.integers(1, 6)) for i in range(20)}
+    cells |= {(230 + i, 200 + i): 3 for i in range(0, 20, 2)} | {(None, 5): 2, (240, None): 4, (None, None): 1}
+    return [(a, b, n) for (a, b), n in cells.items()]
+
+
+@pytest.mark.parametrize("seed, dense", [(0, 2), (1, 300)])
+def test_labels_with_one_cell_count_against_no_limit(spark, monkeypatch, seed, dense):
+    rows = linked(np.random.default_rng(seed))
+    weight = {(a, b): n for a, b, n in rows}
+    best = sum(weight.get(pair, 0) for part in M.split_parts(rows) for pair in M.match_part(part))
+    monkeypatch.setattr(M, "DRIVER_CELLS", 5)
+    monkeypatch.setattr(M, "DENSE_LABELS", dense)
+    monkeypatch.setattr(M, "STEM_CELLS", 10)
+    monkeypatch.setattr(M, "MAX_LABELS", 60)
+    cells = spark.createDataFrame(rows, "cluster long, class long, n long")
+    got = [tuple(r) for r in M.best_mapping(cells).collect()]
+    used = [b for a, b in got if (a, b) in weight]
+    assert sorted({a for a, _, _ in rows}, key=str) == sorted((a for a, _ in got), key=str)
+    assert len(used) == len(set(used)) and sum(weight.get(pair, 0) for pair in got) == best
