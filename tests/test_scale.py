@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from orthant.operators import knn as K
 from orthant.operators import matching as M
+from orthant.plans import agglomerate as A
 
 
 def test_links_of_a_small_file_are_tried_in_many_tasks(spark, tmp_path):
@@ -88,3 +89,33 @@ def test_labels_with_one_cell_count_against_no_limit(spark, monkeypatch, seed, d
     used = [b for a, b in got if (a, b) in weight]
     assert sorted({a for a, _, _ in rows}, key=str) == sorted((a for a, _ in got), key=str)
     assert len(used) == len(set(used)) and sum(weight.get(pair, 0) for pair in got) == best
+
+
+def one_at_a_time(x, k):
+    parts = [[i] for i in range(len(x))]
+    while len(parts) > k:
+        centres, sizes = np.array([x[p].mean(axis=0) for p in parts]), np.array([float(len(p)) for p in parts])
+        scores = A.ward_scores(centres, sizes, centres, sizes)
+        np.fill_diagonal(scores, np.inf)
+        i, j = sorted(divmod(int(scores.argmin()), len(parts)))
+        parts[i] += parts.pop(j)
+    return {frozenset(p) for p in parts}
+
+
+@pytest.mark.parametrize("d", [1, 2, 4])
+def test_merges_within_cells_are_those_of_ward(monkeypatch, d):
+    monkeypatch.setattr(A, "PAIR_ROWS", 60)
+    x = np.random.default_rng(d).random((200, d)) ** 2
+    log, ids = [], np.arange(len(x))
+    state = ids, x, np.ones(len(x)), np.full((len(x), 1), np.inf), np.zeros(len(x), dtype=np.int64)
+    state = A.merge_cell(*state, 1.0, log)
+    inside = sum(len(row[0]) for row in log)
+    assert 20 <= inside < len(x)
+    A.merge_near(*state, log)
+    keep, gone, height, step = (np.concatenate(v) for v in zip(*log))
+    assert len(gone) == len(set(gone)) == len(x) - 1
+    for k in (2, 7, 40):
+        label = ids.copy()
+        for m in np.lexsort((gone, step, height))[: len(x) - k]:
+            label[label == label[gone[m]]] = label[keep[m]]
+        assert {frozenset(np.flatnonzero(label == v).tolist()) for v in set(label)} == one_at_a_time(x, k)
