@@ -252,6 +252,27 @@ def test_plans_stay_narrow(spark):
     assert "Exchange" not in physical and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_residuals_fall_below_what_inner_products_lose(spark):
+    """Blocks that start at nearly converged vectors stayed at residuals of 1e-7."""
+    n = 400
+    rng = np.random.default_rng(3)
+    w = np.zeros((n, n))
+    for step in (1, 2, 7, 31):
+        i = np.arange(n)
+        w[i, (i + step) % n] = w[(i + step) % n, i] = rng.uniform(0.5, 1.5, n)
+    rows = [(int(a), int(b), float(w[a, b])) for a, b in zip(*np.nonzero(w), strict=True)]
+    edges = spark.createDataFrame(rows, "src long, dst long, w double")
+    g = NodeGraph.build(edges, True, Scratch(spark, "test"))
+    x, got, error = leading_eigenvectors(g, 3, Scratch(spark, "test"), tol=1e-9, max_rounds=6)
+    root = np.sqrt(w.sum(1))
+    want, vectors = np.linalg.eigh(w / np.outer(root, root))
+    assert error <= 1e-9
+    np.testing.assert_allclose(got, want[::-1][:3] - 1.0, atol=1e-9)
+    found = np.array([r["x"] for r in x.orderBy("id").collect()])
+    top = vectors[:, ::-1][:, :3]
+    np.testing.assert_allclose(found @ found.T, top @ top.T, atol=1e-7)
+
+
 def test_products_shuffle_no_edges(spark):
     from orthant.operators.eigen import _next_block
 
