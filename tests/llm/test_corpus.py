@@ -552,3 +552,22 @@ def test_stages_take_odd_tables(spark, empty):
         assert bool(rows) != empty, name
         assert all(r[c] == f"mine {c}" for r in rows for c in CLASHES), name
     assert corpus_pipeline.encode(spark, table, DATA).count() == table.count()
+
+
+def test_line_dedup_leaves_few_tables(spark):
+    """Ten tables stayed on disk until the job's end."""
+    from pathlib import Path
+
+    from orthant.session import scratch_root
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+
+    def tables():
+        return {f.parent for f in root.rglob("_SUCCESS")}
+
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(60)) for i in range(4))
+    before = tables()
+    rows = spark.createDataFrame([(1, text), (2, text), (3, text.replace("\n", " "))], "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n_removed, r.n_cut) for r in line_dedup.dedup_text(rows).collect()}
+    assert out == {1: (text, 0, 0), 2: ("", 4, 0), 3: ("", 0, 240)}
+    assert 0 < len(tables() - before) <= 3
