@@ -27,6 +27,8 @@ BLOCK = 100_000
 STRETCH = 64
 # Fixed value: what a word is made of, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same in texts as they stand.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -186,7 +188,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     counted = docs.select(
         "doc_id",
         F.xxhash64("text").alias("th"),
-        F.regexp_count(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD)).cast("long").alias("n_words"),
+        # upper case does not change the number
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"),
     )
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))

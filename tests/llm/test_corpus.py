@@ -571,3 +571,21 @@ def test_line_dedup_leaves_few_tables(spark):
     out = {r.doc_id: (r.text, r.n_removed, r.n_cut) for r in line_dedup.dedup_text(rows).collect()}
     assert out == {1: (text, 0, 0), 2: ("", 4, 0), 3: ("", 0, 240)}
     assert 0 < len(tables() - before) <= 3
+
+
+def test_lower_case_and_count_of_words(spark):
+    """ASCII texts and others; only A-Z are lower-cased, and the count needs no lower case."""
+    from orthant.llm.common import ascii_lower
+
+    texts = ["AbZ [x] @Q", "ÀÉ Straße ABZ \u0130\u212a", "", None, "A_b-C`d{E}", "\U0001d400Z z"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = rows.select("doc_id", ascii_lower(F.col("text")).alias("t")).orderBy("doc_id").collect()
+    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    assert [r.t for r in got] == [None if t is None else t.translate(table) for t in texts]
+    plain = rows.select("doc_id", ascii_lower(F.col("text")).alias("t"))
+    assert "lower(" in plain._jdf.queryExecution().toString()
+    empty = spark.createDataFrame([], "item_id long, text string")
+    counted = {r.doc_id: r.n_words for r in decon.contamination(rows, empty).collect()}
+    pattern = WORD
+    want = {i: len(pattern.findall((t or "").translate(table))) for i, t in enumerate(texts)}
+    assert counted == want
