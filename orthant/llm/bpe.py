@@ -4,11 +4,11 @@ Encoding. Let e(p) be the BPE tokens of a byte string p. Two facts make a transd
 where every vocabulary token encodes as itself: the tokens of a prefix never depend on what lies
 left of a token border, and a sequence is an encoding exactly if each adjacent pair encodes as
 itself. So a prefix has one last token, and a configuration after reading p is the set of its
-open hypotheses: a token is under way (a trie node) since an earlier border, after the tokens up
-to that border. Tokens that all hypotheses share are emitted; the rest is at most as long as the
-longest token, which bounds the lookahead. Configurations are numbered as they are met and their
-moves are kept (lazy determinisation); the table is emptied when it is full, as the current
-configuration can be entered again at any time.
+open hypotheses: a token is under way (a trie node) since an earlier border, after the last token
+up to that border. The output of a configuration is the last token of the prefix read; read from
+the end, each such token leads to the border before it, and those on the way are the encoding.
+Configurations are numbered as they are met and their moves are kept (lazy determinisation); the
+table is emptied when it is full, as the current configuration can be entered again at any time.
 
 Decoding. An incremental UTF-8 state machine, lifted from bytes to tokens: for each of its
 states a table has the state after a whole token, so a stream of ids steps once per token.
@@ -17,7 +17,9 @@ states a table has the state after a whole token, so a stream of ids steps once
 from __future__ import annotations
 
 import base64
+import re
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -43,11 +45,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-def bpe(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Plain merging, lowest rank first; used on tokens and pairs of tokens only."""
+def bpe(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[bytes]:
+    """Plain merging, lowest rank first, until ``least`` parts are left; used on tokens and pairs
+    of tokens only."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     found = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
-    while found and (rank := min(found)) != NONE:
+    while len(parts) > least and (rank := min(found)) != NONE:
         i = found.index(rank)
         parts[i] += parts.pop(i + 1)
         del found[i]
@@ -64,19 +67,26 @@ class Trie:
 
     Nodes are multiples of 256, so that node + byte is the key of a child. By node number,
     ``token`` has the id that ends there or -1, and ``inner`` whether there are children.
+    ``halves`` has the two ids that a token is merged from; it is None where one of them may be
+    merged later than the token's rank says.
     """
 
     child: dict[int, int]
     token: list[int]
     inner: bytes
+    halves: dict[int, tuple[int, int]] | None
 
     @staticmethod
     def build(ranks: dict[bytes, int]) -> Trie:
         child: dict[int, int] = {}
         token = [-1]
+        halves: dict[int, tuple[int, int]] = {}
         for text, rank in ranks.items():
-            if len(bpe(text, ranks)) != 1:
+            parts = bpe(text, ranks, 2)
+            if len(parts) > 2:
                 continue
+            if len(parts) == 2:
+                halves[rank] = ranks[parts[0]], ranks[parts[1]]
             node = 0
             for byte in text:
                 key = node + byte
@@ -88,110 +98,143 @@ class Trie:
         inner = bytearray(len(token))
         for key in child:
             inner[key >> 8] = 1
-        return Trie(child, token, bytes(inner))
+        ordered = all(half < rank or half not in halves for rank, two in halves.items() for half in two)
+        return Trie(child, token, bytes(inner), halves if ordered else None)
 
 
-START = -1
+#: A hypothesis is its trie node times 2^32, and one more than the id before it.
+LAST = (1 << 32) - 1
 
 
 class Transducer:
-    """Bytes in, token ids out, in one left-to-right reading.
+    """Bytes in, token ids out: one reading from the left, and one of its outputs from the end.
 
-    A configuration is (last shared id, hypotheses); a hypothesis is (trie node, ids since the
-    shared part), the longest under way first. The last one always stands at the root: its ids
-    complete the input so far. A move is the number of the next configuration, negative where
-    ``emits`` has ids to emit.
+    A configuration is a tuple of hypotheses, the longest under way first; the last one always
+    stands at the root, after the last token of the prefix read, which is ``output``. A move is
+    the number of the next configuration.
     """
 
     def __init__(self, ranks: dict[bytes, int], trie: Trie, bytes_of: list[bytes]):
         self.ranks, self.trie, self.bytes_of = ranks, trie, bytes_of
-        self.pairs: dict[int, bool] = {}
+        self.lengths = [len(token) for token in bytes_of]
         self.reset()
 
     def reset(self) -> None:
-        start = (START, ((0, ()),))
-        self.configs = [None, start]
-        self.numbers = {start: 1}
+        self.configs: list[tuple[int, ...]] = []
+        self.output: list[int] = []
+        self.numbers: dict[tuple[int, ...], int] = {}
         self.moves: dict[int, int] = {}
-        self.emits: dict[int, tuple[int, ...]] = {}
+        self.number((0,))
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the two tokens, side by side, encode as themselves."""
-        if left == START:
-            return True
-        key = left << 32 | right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MOVES:
-                self.pairs.clear()
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self.pairs[key] = bpe(a + b, self.ranks) == [a, b]
-        return known
-
-    def number(self, config) -> int:
+        """Whether the two tokens, side by side, encode as themselves.
+
+        Where merges go by rank, the tokens at the border are taken apart in reverse order, and no
+        two that stood there side by side may have a merge that comes before the next one done.
+        """
+        ranks, bytes_of, halves = self.ranks, self.bytes_of, self.trie.halves
+        if halves is None:
+            a, b = bytes_of[left], bytes_of[right]
+            return bpe(a + b, ranks) == [a, b]
+        before = NONE
+        a, b = halves.get(left), halves.get(right)
+        while True:
+            if ranks.get(bytes_of[left] + bytes_of[right], NONE) < before:
+                return False
+            if a is not None and (b is None or left > right):
+                before, left = left, a[1]
+                a = halves.get(left)
+            elif b is not None:
+                # of equal ranks the merge on the left is done first
+                before, right = right + 1, b[0]
+                b = halves.get(right)
+            else:
+                return True
+
+    def number(self, config: tuple[int, ...]) -> int:
         found = self.numbers.get(config)
         if found is None:
             found = self.numbers[config] = len(self.configs)
             self.configs.append(config)
+            self.output.append((config[-1] & LAST) - 1)
         return found
 
     def step(self, state: int, byte: int) -> int:
         """Build the move from a state on a byte."""
-        last, hypotheses = self.configs[state]
         child, token, inner = self.trie.child.get, self.trie.token, self.trie.inner
-        alive, done = [], None
-        for node, ids in hypotheses:
-            node = child(node + byte)
+        alive, done = [], -1
+        for open_ in self.configs[state]:
+            node = child((open_ >> 32) + byte)
             if node is None:
                 continue
-            place = node >> 8
-            if done is None and (ended := token[place]) >= 0:
-                if self.fits(ids[-1] if ids else last, ended):
-                    done = (*ids, ended)
+            place, last = node >> 8, open_ & LAST
+            if done < 0 and (ended := token[place]) >= 0 and (not last or self.fits(last - 1, ended)):
+                done = ended
             if inner[place]:
-                alive.append((node, ids))
-        if done is None:
+                alive.append(node << 32 | last)
+        if done < 0:
             raise ValueError("a byte of the input has no token")
-        shared = len(done)
-        for _, ids in alive:
-            shared = min(shared, len(ids))
-            while ids[:shared] != done[:shared]:
-                shared -= 1
-            if not shared:
-                break
-        alive.append((0, done))
-        key = state << 8 | byte
-        if not shared:
-            move = self.moves[key] = self.number((last, tuple(alive)))
-            return move
-        self.emits[key] = done[:shared]
-        alive = [(node, ids[shared:]) for node, ids in alive]
-        move = self.moves[key] = -self.number((done[shared - 1], tuple(alive)))
+        alive.append(done + 1)
+        move = self.moves[state << 8 | byte] = self.number(tuple(alive))
         return move
 
-    def ending(self, state: int) -> tuple[int, ...]:
-        """The ids that the end of input adds."""
-        return self.configs[state][1][-1][1]
-
     def encode(self, data: bytes) -> list[int]:
-        out: list[int] = []
-        state, move_of = 1, self.moves.get
+        state, move_of, output = 0, self.moves.get, self.output
+        ends: list[int] = []
         for byte in data:
             move = move_of(state << 8 | byte)
             if move is None:
                 if len(self.configs) + len(self.moves) >= MOVES:
                     here = self.configs[state]
                     self.reset()
-                    state, move_of = self.number(here), self.moves.get
+                    state, move_of, output = self.number(here), self.moves.get, self.output
                 move = self.step(state, byte)
-            if move < 0:
-                out += self.emits[state << 8 | byte]
-                move = -move
             state = move
-        out += self.ending(state)
+            ends.append(output[state])
+        out: list[int] = []
+        i, lengths = len(ends), self.lengths
+        while i:
+            token = ends[i - 1]
+            out.append(token)
+            i -= lengths[token]
+        out.reverse()
         return out
 
 
+def ranges(kind: str, chars: str) -> str:
+    """The characters of one kind, as the inside of a bracket of ``re``."""
+    runs = (run.group() for run in regex.finditer(kind + "+", chars))
+    return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run in runs)
+
+
+def plain_pattern(top: int) -> Callable[[str], list[str]]:
+    """``findall`` of public_tokenizers.PATTERN for texts of characters below ``top``, by ``re``,
+    which is faster with short brackets. What a character is, ``regex`` tells."""
+    chars = "".join(map(chr, (c for c in range(top) if not 0xD800 <= c < 0xE000)))
+    letter, digit, space = (ranges(kind, chars) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(
+        f" ?[{letter}]++|'(?:[stmd]|re|ve|ll)| ?[{digit}]++| ?[^{letter}{digit}{space}]++"
+        f"|[{space}]+(?![^{space}])|[{space}]+"
+    ).findall
+
+
+def pieces_of(pattern: str) -> Callable[[str], list[str]]:
+    """The matches of the pattern in a text."""
+    anywhere = regex.compile(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return anywhere
+    ascii_only, two_bytes = plain_pattern(0x80), plain_pattern(0x10000)
+
+    def pieces(text: str) -> list[str]:
+        if text.isascii():
+            return ascii_only(text)
+        if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text):
+            return two_bytes(text)
+        return anywhere(text)
+
+    return pieces
+
+
 class Encoder(dict):
     """Texts to ids: cut by the pattern, each piece through the transducer.
 
@@ -205,7 +248,7 @@ class Encoder(dict):
         for token, rank in ranks.items():
             bytes_of[rank] = token
         self.ranks, self.transducer = ranks, Transducer(ranks, trie, bytes_of)
-        self.pieces = regex.compile(pattern).findall
+        self.pieces = pieces_of(pattern)
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode("utf-8")

@@ -95,6 +95,47 @@ def test_samples_and_small_tables(coder, monkeypatch):
         assert np.frombuffer(encoder.text(text), "<u4").tolist() == tool.encode_ordinary(text)
 
 
+def test_new_words_need_no_merging(coder, monkeypatch):
+    """Each pair of tokens that met was merged from its bytes again, and configurations held all
+    ids since the last common one, so that hardly one came up twice."""
+    encoder, _, tool = coder
+    made = bpe.Encoder(encoder.ranks, encoder.transducer.trie, public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "bpe", None)
+    rng = np.random.default_rng(3)
+    parts = ["tion", "ing", "the", "os", "ción", "ra", "h", "ñ", "er", "ll"]
+    text = " ".join("".join(rng.choice(parts, rng.integers(1, 7))) for _ in range(3000))
+    assert np.frombuffer(made.text(text), "<u4").tolist() == tool.encode_ordinary(text)
+    assert len(made.transducer.configs) < 4000
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_small_vocabularies_in_any_order(ordered):
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        tokens = [b"a", b"b", b"c"]
+        while len(tokens) < 14:
+            new = b"".join(tokens[i] for i in rng.integers(0, len(tokens), 2))
+            tokens += [new] if new not in tokens else []
+        order = range(14) if ordered else rng.permutation(14).tolist()
+        ranks = {t: int(r) for t, r in zip(tokens, order, strict=True)}
+        trie, names = bpe.Trie.build(ranks), {r: t for t, r in ranks.items()}
+        assert trie.halves is not None or not ordered
+        machine = bpe.Transducer(ranks, trie, [names[i] for i in range(14)])
+        for _ in range(40):
+            data = bytes(rng.choice(list(b"abc"), rng.integers(0, 30)).tolist())
+            assert [names[i] for i in machine.encode(data)] == bpe.bpe(data, ranks) if data else True
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40))
+def test_pieces_of_any_text(text):
+    """Three ways to cut a text, by the characters in it; they cut alike."""
+    own = bpe.regex.compile(public_tokenizers.PATTERN).findall
+    pieces = bpe.pieces_of(public_tokenizers.PATTERN)
+    for t in (text, text.encode("ascii", "ignore").decode(), f"{text} \x1c\x85's  '{text}\U0001d400"):
+        assert pieces(t) == own(t)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 50_000), max_size=30), st.integers(1, 7))
 def test_streaming_decode_of_any_ids(coder, ids, step):
