@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthant.llm.common import ascii_lower, cut
+from orthant.llm.common import apart, ascii_lower, cut
 
 #: Words in a window. An item with fewer words, but not none, is one window.
 WINDOW = 10
@@ -27,13 +27,14 @@ BLOCK = 100_000
 STRETCH = 64
 # Fixed value: what a word is made of, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# The same in texts as they stand.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# What stands between words, in lower-cased texts and in texts as they stand.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_ANY = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return apart(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN)
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -79,14 +80,16 @@ def stretches(docs: DataFrame, margin: int) -> DataFrame:
     where the document has them. ``base`` is the position of the stretch's first own word, and
     ``lead`` how many words stand before it. However long a document is, a row is short."""
     w = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
-    bases = F.sequence(F.lit(0), F.size("w") - 1, F.lit(STRETCH))
+    every = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(STRETCH))
+    bases = F.filter(every, lambda base: base < F.size("w"))
 
     def one(base: Column) -> Column:
         lead = F.least(base, F.lit(margin))
         part = F.slice("w", base - lead + 1, lead + STRETCH + margin)
         return F.struct(base.alias("base"), lead.alias("lead"), part.alias("w"))
 
-    cut_up = w.where(F.size("w") > 0).select("doc_id", "th", F.explode(F.transform(bases, one)).alias("s"))
+    # a filter on their number would have the words worked out twice
+    cut_up = w.select("doc_id", "th", F.explode(F.transform(bases, one)).alias("s"))
     return cut_up.select("doc_id", "th", "s.base", "s.lead", "s.w")
 
 
@@ -189,7 +192,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         "doc_id",
         F.xxhash64("text").alias("th"),
         # upper case does not change the number
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"),
+        F.size(apart(F.coalesce("text", F.lit("")), BETWEEN_ANY)).cast("long").alias("n_words"),
     )
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
