@@ -37,6 +37,7 @@ from pyspark.sql.types import (
 
 from orthant.llm.common import cut, map_texts, settle
 from orthant.llm.words import find_words
+from orthant.session import Scratch
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -363,22 +364,24 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     words are alike, and so are equal texts without any word (null counts as empty). ``first``
     marks the rows of the class's first document, by doc_id (null ids last) and text hash.
     """
+    scratch = Scratch(docs.sparkSession, "cut")
     rows = cut(sketches(docs))
     nodes = numbered(rows)
-    sets = cut(shingle_sets(docs, nodes))
-    links = cut(verified(cut(representative_pairs(nodes, threshold)), sets, threshold))
+    sets = scratch.cut(shingle_sets(docs, nodes))
+    links = scratch.cut(verified(scratch.cut(representative_pairs(nodes, threshold)), sets, threshold))
     classes = components(links)
-    members = cut(mixed_members(nodes, classes))
+    members = scratch.cut(mixed_members(nodes, classes))
     if not members.isEmpty():
-        rare = cut(rarest_shingles(members, sets, threshold))
+        rare = scratch.cut(rarest_shingles(members, sets, threshold))
         for salt in range(ROUNDS + 1):
             # what is in one class by now makes no more pairs
-            now = cut(relabelled(rare, classes))
+            now = scratch.cut(relabelled(rare, classes))
             pairs = fresh_pairs(now, salt, threshold) if salt < ROUNDS else crossing_pairs(now, threshold)
-            more = cut(verified(cut(pairs), sets, threshold))
+            more = scratch.cut(verified(scratch.cut(pairs), sets, threshold))
             if not more.isEmpty():
                 links = links.unionByName(more)
                 classes = components(links)
+    scratch.release(keep=0)
     labelled = (
         rows.select("doc_id", "th", "k1", "k2")
         .join(nodes.select("k1", "k2", "node"), ["k1", "k2"])
@@ -400,16 +403,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that are the first of their class; of rows that
     share id and text one stays."""
-    first = (
-        near_duplicate_classes(docs, threshold)
-        .where("first")
-        .select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-        .distinct()
-    )
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th"))
-    kept = keyed.join(first, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    id_ = F.col("doc_id").cast("string")
+    key = [id_.isNull().alias("__nil"), F.coalesce(id_, F.lit("")).alias("__id")]
+    names = ["__nil", "__id", "__key"]
+    classes = near_duplicate_classes(docs, threshold).where("first")
+    first = classes.select(*key, F.col("th").alias("__key")).distinct()
+    keyed = docs.select("*", *key, F.xxhash64("text").alias("__key"))
+    # one key for both, so that texts are shuffled once
+    return keyed.join(first, names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 NEAR_DEDUP_SQL = r"""

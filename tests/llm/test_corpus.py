@@ -601,3 +601,43 @@ def test_words_by_what_stands_between(spark):
     plan = cut_up._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and plan.count("split(") == 1
     assert {r.doc_id: r.w for r in cut_up.collect()} == {r.doc_id: r.w for r in got if r.w}
+
+
+def test_passage_words_of_any_script(spark):
+    """Texts without letters that are words are cut at white space, others by matches."""
+    unspaced = line_dedup.UNSPACED
+    chars = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000]
+    texts = ["", None, " a  b\u00a0c\u3000", "北京 x", "ab\u0e01c", "\u2019s \u2028 \U00020000"]
+    texts += ["y".join(chars[i : i + 64]) for i in range(0, len(chars), 64)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(line_dedup.PASSAGE_WORD), F.lit(0))
+    own = line_dedup.passage_words(F.col("text"))
+    assert rows.where(~own.eqNullSafe(whole)).count() == 0
+    assert rows.where(F.col("text").rlike(f"[{unspaced}]") & ~F.col("text").rlike(line_dedup.ANY_UNSPACED)).count() == 0
+    plan = line_dedup.fingerprints(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_near_dedup_shuffles_texts_once(spark):
+    """Texts went through two shuffles at the end, and the shingle sets stayed on disk."""
+    from pathlib import Path
+
+    from orthant.session import scratch_root
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    base = " ".join(f"v{i}" for i in range(60))
+    texts = [(2, base), (1, base + " more"), (None, base), (3, None), (3, None), (4, ""), (5, "else")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    before = {f.parent for f in root.rglob("_SUCCESS")}
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_dedup.one_of_each(rows)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert plan.count("Exchange hashpartitioning(__nil") == 2  # texts, and the keys that stay
+    assert plan.split("SortMergeJoin")[0].count("Exchange") == 0
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, base + " more"), (3, None), (5, "else")]
+    left = {f.parent for f in root.rglob("_SUCCESS")} - before
+    assert all("g" not in spark.read.parquet(str(p)).columns for p in left)
