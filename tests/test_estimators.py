@@ -300,3 +300,37 @@ def test_copies_are_limited_before_the_shuffle(spark, vectors):
     heads = vectors(np.zeros((4, 2))).withColumn("rank", F.row_number().over(copies))
     plan = heads.where(F.col("rank") <= 6)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("form", ["packed", "joins"])
+@pytest.mark.parametrize("normalized", [True, False])
+def test_products_over_packed_groups_and_by_joins(spark, monkeypatch, normalized, form):
+    """Graphs beyond one task: groups of chunks, with a node without links and repeated edges."""
+    from orthant.operators import eigen
+
+    monkeypatch.setattr(eigen, "TASK_NODES", 10)
+    monkeypatch.setattr(eigen, "CHUNK_NODES", 3)
+    if form == "joins":
+        monkeypatch.setattr(eigen, "MOST_BLOCK_EDGES", 1)
+    edges, a, truth = block_graph(spark, (20, 15, 10))
+    edges, a = edges.unionByName(edges), np.pad(2 * a, (0, 1))
+    lone = spark.createDataFrame([(45,)], "id long")
+    d = a.sum(1)
+    root = np.sqrt(np.where(d > 0, d, np.inf))
+    lap = np.eye(46) - a / np.outer(root, root) if normalized else np.diag(d) - a
+    h = np.eye(3)[[*np.minimum(truth, 1), 2]]
+    label_rows = [(i, int(c)) for i, c in enumerate(h.argmax(1))]
+    labels = spark.createDataFrame(label_rows, "id long, prediction int")
+    scratch = Scratch(spark, "test")
+    g = NodeGraph.build(edges, normalized, scratch, lone)
+    assert (g.n, g.groups) == (46, 8 if form == "packed" else 0)
+    x, got, _ = leading_eigenvectors(g, 3, scratch)
+    assert x.count() == 46
+    np.testing.assert_allclose(-got, np.linalg.eigvalsh(lap)[:3], atol=1e-7)
+    x, got, _ = leading_eigenvectors(g, 3, scratch, labels=labels, rho=0.3, n_labels=3, start=x)
+    values, vectors = np.linalg.eigh(-lap + 0.3 * h @ h.T)
+    np.testing.assert_allclose(got, values[::-1][:3], atol=1e-7)
+    x = np.array([r["x"] for r in x.orderBy("id").collect()])
+    np.testing.assert_allclose(x @ x.T, vectors[:, -3:] @ vectors[:, -3:].T, atol=1e-5)
+    with pytest.raises(RuntimeError, match="residual"):
+        leading_eigenvectors(g, 3, scratch, tol=-1.0, max_rounds=1)
